@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrion.llm import sentences, topn
+from quarrion.llm import mixing, packing, sentences, splitting, topn
 from quarrion.session import table
 
 
@@ -18,7 +18,34 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.found(table(spark, sf_dir, "passages"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found)}
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container, offset and tokens of every document (or part of one that exceeds the capacity) at each size."""
+    limits = packing.container_limits(table(spark, sf_dir, "size_limits"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), limits)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and used space at each container size."""
+    return packing.fill_report(p7_packs(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mix, with the number of copies of each."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares asked for and reached, per source."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document above each piece size."""
+    limits = splitting.piece_limits(table(spark, sf_dir, "size_limits"))
+    return splitting.split_documents(table(spark, sf_dir, "documents"), limits)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
 
 ORACLE_SQL = {
     "p4_found": """
