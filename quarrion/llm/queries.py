@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrion.llm import mixing, packing, sentences, splitting, topn
+from quarrion.llm import mixing, neardup, overlap, packing, sentences, splitting, topn
 from quarrion.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of passages with similar token sets."""
+    return neardup.found(table(spark, sf_dir, "passages"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, copies and links of every passage that has a near duplicate."""
+    return neardup.groups(table(spark, sf_dir, "passages"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the same or almost the same question across splits."""
+    return overlap.found(table(spark, sf_dir, "questions"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring questions per evaluation split and dataset."""
+    return overlap.report(table(spark, sf_dir, "questions"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best items of every query."""
     return topn.found(table(spark, sf_dir, "retrieval_scores"))
@@ -45,7 +65,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"), limits)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, p4_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
 
 ORACLE_SQL = {
     "p4_found": """
