@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrion.llm import mixing, neardup, overlap, packing, sentences, splitting, topn
+from quarrion.llm import knn, mixing, neardup, overlap, packing, sentences, splitting, topn
 from quarrion.session import table
 
 
@@ -33,6 +33,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.found(table(spark, sf_dir, "retrieval_scores"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one vector is among the five most similar of the other."""
+    return knn.found(table(spark, sf_dir, "passages_emb"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every passage."""
     return sentences.found(table(spark, sf_dir, "passages"))
@@ -65,7 +70,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"), limits)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, p4_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
 
 ORACLE_SQL = {
     "p4_found": """
