@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrion.llm import knn, mixing, neardup, overlap, packing, sentences, splitting, topn
+from quarrion.llm import defects, knn, mixing, neardup, overlap, packing, sentences, splitting, topn
 from quarrion.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defect type of every defective result."""
+    return defects.found(table(spark, sf_dir, "results"), table(spark, sf_dir, "questions"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of passages with similar token sets."""
     return neardup.found(table(spark, sf_dir, "passages"))
@@ -70,7 +75,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"), limits)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
 
 ORACLE_SQL = {
     "p4_found": """
