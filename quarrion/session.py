@@ -58,3 +58,12 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions to ask for where a plan must name a number itself."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan``, a plain read, over at least as many partitions as there are cores; for work that is heavy per row.
+
+    Large tables have more splits than that and are left as they are.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)
