@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.tokens import VOCABULARY, with_token_counts
-from quarrion.session import checkpointed
+from quarrion.session import checkpointed, spread
 
 #: Bits of the hash per histogram, and in all. 2 ** BITS x sources rows come to the driver at once.
 BITS, HASH_BITS = 12, 60
@@ -49,7 +49,7 @@ def source_name(column: str) -> Column:
 
 def sized_sources(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens, hash) of every document, a few bytes a row, checkpointed."""
-    rows = documents.select("doc_id", source_name("source").alias("source"), "text")
+    rows = spread(documents).select("doc_id", source_name("source").alias("source"), "text")
     sized = with_token_counts(rows, "text", vocabulary)
     return checkpointed(sized.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - HASH_BITS)))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm.tokens import VOCABULARY, with_token_counts
-from quarrion.session import checkpointed, parallelism
+from quarrion.session import checkpointed, parallelism, spread
 
 #: Ranks of one length in a join key, so no key holds more rows than this.
 BLOCK = 1 << 16
@@ -137,7 +137,7 @@ def pack_documents(documents: DataFrame, capacities: list[tuple[int, int]], voca
     The few-byte table (doc_id, n_tokens) is checkpointed, so texts are read and tokenized once for all limits.
     Every doc_id must be unique; a null doc_id is left out.
     """
-    sized = with_token_counts(documents.select(F.col("doc_id").cast("bigint").alias("item"), "text"), "text", vocabulary)
+    sized = with_token_counts(spread(documents).select(F.col("doc_id").cast("bigint").alias("item"), "text"), "text", vocabulary)
     sized = checkpointed(sized.where("item IS NOT NULL"))
     parts = [
         pack(sized, capacity).select(F.lit(limit).alias("limit_id"), "item", "part", "length", "container", "offset")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm.tokens import VOCABULARY, Tokenizer, tokenizer
+from quarrion.session import spread
 
 _SECTION = re.compile(r"\n(?=#{1,6} \S|(?:[A-Z]+ )?\d{1,3}\. [^\n]{1,80}\n|={3,}|-{3,})")
 _PARAGRAPH = re.compile(r"\r?\n[^\S\n]*(?:\r?\n)+")
@@ -156,7 +157,7 @@ def split_documents(
     shuffle; offsets count code points and are all that comes out, ``with_piece_text`` adds the text. Null and
     blank texts give no piece; an id may be null or repeated.
     """
-    rows = documents.select(F.col(id_col).alias("id"), F.col("text").alias("text"))
+    rows = spread(documents).select(F.col(id_col).alias("id"), F.col("text").alias("text"))
     least = min((limit for _, limit, _, _ in limits), default=0)
     id_type = rows.schema["id"].dataType.simpleString()
 
