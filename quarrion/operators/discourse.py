@@ -59,11 +59,12 @@ def expand_sentences(sentences: DataFrame, extension: int = 1) -> DataFrame:
     )
 
 
-def discourse_passages(sentences: DataFrame) -> DataFrame:
-    """Expanded sentences without those that only the next one's expansion repeats."""
+def discourse_passages(sentences: DataFrame, extension: int = 1) -> DataFrame:
+    """Expanded sentences without those, not expanded themselves, that the next one's expansion repeats."""
     order = Window.partitionBy("parent_id").orderBy("sent_idx")
+    grown = expand_sentences(sentences, extension)
     covered = ~F.col("expanded") & F.coalesce(F.lead("expanded").over(order), F.lit(False))
-    return expand_sentences(sentences).withColumn("_covered", covered).where("NOT _covered").drop("_covered")
+    return grown.withColumn("_covered", covered).where("NOT _covered").drop("_covered")
 
 
 def anaphora_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
