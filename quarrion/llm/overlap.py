@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Least Jaccard index of the token sets of questions that share a title.
 JACCARD = 0.6
@@ -25,7 +26,7 @@ TRAIN, EVALUATION = "train", ("dev", "test", "validation")
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def canonical_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Runs of letters and digits after NFKC and lower case; none of a null."""
     for texts in batches:
