@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = r"[\t\n\x0B\f\r \x85\p{Z}]"
 NON_WS = r"[^\t\n\x0B\f\r \x85\p{Z}]"
@@ -53,14 +54,14 @@ def strip(text: str | Column) -> Column:
     return F.regexp_replace(_col(text), f"^{WS}+|{WS}+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility composition, for which Spark has no function."""
     for texts in batches:
         yield texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility decomposition without what is not ASCII."""
     for texts in batches:

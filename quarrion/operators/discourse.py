@@ -7,14 +7,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrion.functions.ids import sentence_id
 from quarrion.functions.markers import anaphora_hits, rule_sentences
 
-_HIT = "struct<marker:string,start:int,end:int,category:string,direction:string,kind:string>"
+_TEXT, _INT = T.StringType(), T.IntegerType()
+_HIT = T.StructType().add("marker", _TEXT).add("start", _INT).add("end", _INT).add("category", _TEXT).add("direction", _TEXT).add("kind", _TEXT)
+_SENTENCE = T.StructType().add("span_start", _INT).add("span_end", _INT).add("text", _TEXT).add("anaphoric", T.BooleanType())
 
 
-@F.pandas_udf("array<struct<span_start:int,span_end:int,text:string,anaphoric:boolean>>")
+@F.pandas_udf(T.ArrayType(_SENTENCE))
 def sentence_structs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Sentences of each text and whether each points back."""
     for texts in batches:
@@ -29,7 +32,7 @@ def sentence_structs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-@F.pandas_udf(f"array<{_HIT}>")
+@F.pandas_udf(T.ArrayType(_HIT))
 def anaphora_structs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Marker hits of each text."""
     for texts in batches:

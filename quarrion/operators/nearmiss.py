@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrion.functions.text import label_tokens
 from quarrion.operators.metrics import ndcg
@@ -17,7 +18,7 @@ from quarrion.operators.retrieval import row_ranks
 W_JACCARD, W_OVERLAP, W_RATIO = 0.4, 0.3, 0.3
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching characters of two texts (not symmetric)."""
     for left, right in batches:
