@@ -86,7 +86,7 @@ def clean_text(text: str | Column, compose: bool = True) -> Column:
 
 def safe_title(title: str | Column) -> Column:
     """Identifier form of a title; ``no_title`` for one without letters or digits of ASCII, or null."""
-    slug = F.trim(F.lit("_"), F.regexp_replace(F.lower(_col(title)), "[^0-9A-Za-z]+", "_"))
+    slug = F.trim(F.regexp_replace(F.lower(_col(title)), "[^0-9A-Za-z]+", "_"), F.lit("_"))
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit("no_title"))
 
 
@@ -97,7 +97,7 @@ def normalise_keyword(text: str | Column, fold: bool = True) -> Column:
         out = ascii_fold(out)
     out = F.regexp_replace(out, "&", " and ")
     out = F.regexp_replace(F.regexp_replace(strip(out), "[^0-9A-Za-z_]+", "_"), "_s_", "_")
-    return F.trim(F.lit("_"), F.regexp_replace(F.regexp_replace(out, "_s$", ""), "_+", "_"))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "_s$", ""), "_+", "_"), F.lit("_"))
 
 
 def canonical_keyword(keyword: str | Column) -> Column:
@@ -185,7 +185,6 @@ def parse_score(text: str | Column, low: int, high: int) -> Column:
     if low > high:
         raise ValueError("low must not exceed high")
     bare = strip(text)
-    exact = F.when(bare.rlike("^[0-9]{1,9}$"), F.expr("int(null)")).otherwise(F.expr("int(null)"))
     exact = F.when(bare.rlike("^[0-9]{1,9}$"), bare.try_cast("int"))
     valid = F.coalesce(exact.between(low, high), F.lit(False))
     first = F.nullif(F.regexp_extract(bare, "(-?[0-9]+)", 1), F.lit(""))
