@@ -188,7 +188,8 @@ def parse_score(text: str | Column, low: int, high: int) -> Column:
     exact = F.when(bare.rlike("^[0-9]{1,9}$"), bare.try_cast("int"))
     valid = F.coalesce(exact.between(low, high), F.lit(False))
     first = F.nullif(F.regexp_extract(bare, "(-?[0-9]+)", 1), F.lit(""))
-    clamped = F.least(F.greatest(first.try_cast("decimal(38,0)"), F.lit(low)), F.lit(high)).cast("int")
+    number = first.try_cast("decimal(38,0)")
+    clamped = F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(low)), F.lit(high)).cast("int"))
     return F.struct(F.when(valid, exact).otherwise(clamped).alias("score"), (~valid).alias("invalid"))
 
 

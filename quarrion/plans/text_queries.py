@@ -239,7 +239,7 @@ ORACLE_SQL = {
         coalesce(contains(lower(reader_model), 'r1') OR (contains(lower(reader_model), 'deepseek') AND contains(lower(reader_model), 'distill')), NULL) AS reasons FROM r""",
     "score_parse": f"""WITH {B.R}, x AS (SELECT result_id, {_strip('normalised_answer')} AS b FROM r),
         y AS (SELECT result_id, b, regexp_full_match(b, '[0-9]{{1,9}}') AND coalesce(try_cast(b AS INT), -1) BETWEEN 0 AND 5 AS ok FROM x),
-        z AS (SELECT result_id, CASE WHEN ok THEN try_cast(b AS INT) ELSE CAST(least(greatest(try_cast(nullif(regexp_extract(b, '(-?[0-9]+)', 1), '') AS DECIMAL(38, 0)), 0), 5) AS INT) END AS score, NOT coalesce(ok, false) AS invalid FROM y)
+        z AS (SELECT result_id, CASE WHEN ok THEN try_cast(b AS INT) ELSE CASE WHEN try_cast(nullif(regexp_extract(b, '(-?[0-9]+)', 1), '') AS DECIMAL(38, 0)) IS NOT NULL THEN CAST(least(greatest(try_cast(nullif(regexp_extract(b, '(-?[0-9]+)', 1), '') AS DECIMAL(38, 0)), 0), 5) AS INT) END END AS score, NOT coalesce(ok, false) AS invalid FROM y)
         SELECT result_id, CASE WHEN score IS NULL THEN NULL ELSE score END AS score, invalid, round(score / 5.0, 6) AS unit FROM z""",
     "trick_label_parse": f"""WITH {B.R}, x AS (SELECT result_id, {_strip('raw_answer')} AS b FROM r)
         SELECT result_id, upper(regexp_extract(b, '{{0}}', 1)) AS target, {_strip("regexp_extract(b, '{0}', 2)")} AS body
