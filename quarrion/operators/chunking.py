@@ -173,6 +173,7 @@ def chunk_table(
                 ]
             )
 
+    chunks = chunks.asNondeterministic()  # else the filter that explode implies runs it once more
     keep = tuple(c for c in keep if c in df.columns)
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("source_id"), chunks(F.col(text_col)).alias("_chunks"), *keep)
     rows = rows.withColumn("chunk_count", F.size("_chunks")).withColumn("_chunk", F.explode("_chunks"))

@@ -39,9 +39,15 @@ def anaphora_structs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([[h.__dict__ for h in anaphora_hits(x, rule_sentences(x))] if isinstance(x, str) else [] for x in texts])
 
 
+# else the filter that explode implies runs them once more
+sentence_structs = sentence_structs.asNondeterministic()
+anaphora_structs = anaphora_structs.asNondeterministic()
+
+
 def sentence_rows(df: DataFrame, id_col: str = "passage_id", text_col: str = "text") -> DataFrame:
     """(parent_id, sent_idx, sentence_id, span_start, span_end, text, anaphoric) of every sentence."""
-    rows = df.select(F.col(id_col).alias("parent_id"), F.posexplode(sentence_structs(F.col(text_col))).alias("sent_idx", "s"))
+    found = df.select(F.col(id_col).alias("parent_id"), sentence_structs(F.col(text_col)).alias("found"))
+    rows = found.select("parent_id", F.posexplode("found").alias("sent_idx", "s"))
     return rows.select("parent_id", "sent_idx", sentence_id(F.col("parent_id"), F.col("sent_idx")).alias("sentence_id"), "s.*")
 
 
@@ -72,7 +78,8 @@ def discourse_passages(sentences: DataFrame, extension: int = 1) -> DataFrame:
 
 def anaphora_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, marker, start, end, category, direction, kind) of every marker that points back."""
-    return df.select(F.col(id_col), F.explode(anaphora_structs(F.col(text_col))).alias("h")).select(id_col, "h.*")
+    found = df.select(F.col(id_col), anaphora_structs(F.col(text_col)).alias("found"))
+    return found.select(id_col, F.explode("found").alias("h")).select(id_col, "h.*")
 
 
 def context_lookup(sentences: DataFrame) -> DataFrame:

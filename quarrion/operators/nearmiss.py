@@ -27,6 +27,9 @@ def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         )
 
 
+sequence_ratio = sequence_ratio.asNondeterministic()  # else a filter on its result runs it once more
+
+
 def set_scores(a: Column, b: Column) -> Column:
     """struct(jaccard, overlap) of two distinct token arrays; 0 if one is empty."""
     both, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))

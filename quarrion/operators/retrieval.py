@@ -35,7 +35,10 @@ def l2_normalise(vector: Column) -> Column:
     """A vector of unit length, as doubles; null for one that is null, zero or not finite."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when((norm > 0) & (norm < float("inf")), F.transform(wide, lambda x: x / norm))
+    # held in a struct, so that the norm is not computed again for each element
+    held = F.array(F.struct(wide.alias("v"), norm.alias("n")))
+    scaled = F.transform(held, lambda s: F.when((s["n"] > 0) & (s["n"] < float("inf")), F.transform(s["v"], lambda x: x / s["n"])))
+    return F.get(scaled, F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
