@@ -35,6 +35,9 @@ def canonical_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         )
 
 
+canonical_tokens = canonical_tokens.asNondeterministic()  # else the filter on its result runs it once more
+
+
 def clean_split(column: str) -> Column:
     """A split's name after trim and lower case."""
     return F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
