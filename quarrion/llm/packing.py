@@ -51,11 +51,10 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
                 if not room[left]:
                     lefts.pop(at)
             else:
-                each = min(capacity // length, count)
-                left, group = capacity, [-(-count // each) if each * (count // each) == count else count // each, []]
-            each = min(left // length, max(1, count // group[0]))
+                left, group = capacity, [count // min(capacity // length, count), []]
+            each = min(left // length, count)  # the tightest pack stays the tightest while another one fits
             packs = min(group[0], count // each)
-            if packs < group[0] and group[1]:
+            if packs < group[0]:
                 put(left, [group[0] - packs, group[1]])
             put(left - each * length, [packs, [*group[1], (length, packs, each)]])
             count -= packs * each
