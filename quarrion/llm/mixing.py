@@ -2,8 +2,9 @@
 
 Each source gets whole passes over all its rows, as far as its quota goes, and for the rest the rows whose hash
 is below a threshold. The threshold is found from histograms of tokens by source and hash bucket: the bucket in
-which the quota falls is the only one refined, by the next bits of the hash, until it holds one row. Nothing is
-sorted and nothing but the histograms (sources x buckets) comes to the driver.
+which the quota falls is the only one refined, by the next bits of the hash, until it holds one row. What that row
+is too large for is filled in the same way from the rows above the threshold that are much smaller, ``FILLS`` times.
+Nothing is sorted and nothing but the histograms (sources x buckets) comes to the driver.
 
 Shares come first: the mix is as large as the scarcest source allows when repeated ``max_repeats`` times, unless
 ``total_tokens`` asks for less. Targets of sources that have no tokens can't be met; the others are scaled up to
@@ -14,7 +15,7 @@ without a target, is in no mix. Rows of no tokens are left out.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,16 @@ from quarrion.session import checkpointed, spread
 
 #: Bits of the hash per histogram, and in all. 2 ** BITS x sources rows come to the driver at once.
 BITS, HASH_BITS = 12, 60
+#: Thresholds per source, and how much smaller than what is missing the rows of the next one are.
+FILLS, FINER = 5, 3
 #: Most sources that a target table may have.
 MAX_SOURCES = 4096
 
 
 @dataclass
 class Quota:
-    """What one source gives: ``passes`` times all its rows, and once more those with a hash below ``below``."""
+    """What one source gives: ``passes`` times all its rows, and once more those that a (below, size) of
+    ``thresholds`` admits: of a hash below it and of no more tokens."""
 
     source: str
     target: float
@@ -39,7 +43,7 @@ class Quota:
     available: int
     passes: int = 0
     rest: float = 0.0
-    below: int = 0
+    thresholds: list[tuple[int, int]] = field(default_factory=list)
 
 
 def source_name(column: str) -> Column:
@@ -90,44 +94,71 @@ def _by_source(values: dict[str, int], default: int) -> Column:
 
 
 def find_thresholds(sized: DataFrame, plan: list[Quota]) -> None:
-    """Set ``below`` of each quota so that the rows below it hold ``rest`` tokens as nearly as whole rows can."""
-    open_ = {q.source: q for q in plan if q.rest > 0}
+    """Set ``thresholds`` of each quota so that the rows admitted hold ``rest`` tokens as nearly as whole rows can."""
+    most = (1 << 31) - 1
+    left = {q.source: q.rest for q in plan if q.rest > 0}
+    caps = dict.fromkeys(left, most)
+    starts = dict.fromkeys(left, 0)
+    quotas_by_name = {q.source: q for q in plan}
+    for fill in range(FILLS):
+        ends = _threshold(sized, left, caps, starts, fill == FILLS - 1)
+        for name, end in ends.items():
+            quotas_by_name[name].thresholds.append((end, caps[name]))
+            caps[name] = int(left[name] / FINER)
+        left = {name: left[name] for name in ends if caps[name] > 0 and left[name] > 0}
+        starts = {name: ends[name] for name in left}
+        if not left:
+            return
+
+
+def _threshold(sized: DataFrame, left: dict[str, float], caps: dict[str, int], starts: dict[str, int], nearest: bool) -> dict[str, int]:
+    """The hash up to which rows from ``starts`` on, of at most ``caps`` tokens, hold no more than ``left``; that is
+    reduced by what they hold. With ``nearest`` the next row is taken too if that comes nearer."""
+    ends, open_ = dict(starts), set(left)
     prefix = dict.fromkeys(open_, 0)
-    left = {name: q.rest for name, q in open_.items()}
+    rows = sized.where(F.col("source").isin(*left)).where("n_tokens > 0")
+    rows = rows.where((F.col("n_tokens") <= _by_source(caps, 0)) & (F.col("hash") >= _by_source(starts, 0)))
     for shift in range(HASH_BITS - BITS, -1, -BITS):
         if not open_:
-            return
-        inside = sized.where(F.col("source").isin(*open_)).where("n_tokens > 0")
+            break
+        inside = rows.where(F.col("source").isin(*open_))
         inside = inside.where(F.expr(f"shiftright(hash, {shift + BITS})") == _by_source({k: prefix[k] for k in open_}, -1))
         bucket = F.expr(f"shiftright(hash, {shift}) & {(1 << BITS) - 1}").cast("int")
-        rows = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+        counted = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
         histograms: dict[str, list] = {}
-        for r in rows:
+        for r in counted:
             histograms.setdefault(r["source"], []).append((r["bucket"], r["t"], r["n"]))
         for name in list(open_):
             base = prefix[name] << BITS
             for bucket_no, tokens, count in sorted(histograms.get(name, [])):
                 if tokens <= left[name]:
                     left[name] -= tokens
-                    open_[name].below = (base + bucket_no + 1) << shift
+                    ends[name] = max(ends[name], (base + bucket_no + 1) << shift)
                     continue
-                if count == 1 or shift == 0:
-                    if left[name] * 2 >= tokens:
-                        open_[name].below = (base + bucket_no + 1) << shift
-                    del open_[name]
-                else:
-                    open_[name].below = (base + bucket_no) << shift
+                if count > 1 and shift > 0:
+                    ends[name] = max(ends[name], (base + bucket_no) << shift)
                     prefix[name] = base + bucket_no
+                else:
+                    if nearest and left[name] * 2 >= tokens:
+                        ends[name] = max(ends[name], (base + bucket_no + 1) << shift)
+                        left[name] = 0.0
+                    open_.discard(name)
                 break
             else:
-                del open_[name]
+                open_.discard(name)
+    return ends
 
 
 def apply_quotas(sized: DataFrame, plan: list[Quota]) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the rows in the mix: one filter over the rows, no shuffle."""
     passes = _by_source({q.source: q.passes for q in plan}, 0)
-    below = _by_source({q.source: q.below for q in plan}, 0)
-    copies = (passes + (F.col("hash") < below).cast("int")).cast("int")
+    admitted = F.lit(False)
+    for fill in range(FILLS):
+        given = {q.source: q.thresholds[fill] for q in plan if len(q.thresholds) > fill}
+        if given:
+            below, size = (_by_source({k: v[i] for k, v in given.items()}, 0) for i in (0, 1))
+            admitted = admitted | ((F.col("hash") < below) & (F.col("n_tokens") <= size))
+    copies = (passes + admitted.cast("int")).cast("int")
     return sized.select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0 AND n_tokens > 0")
 
 
