@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.functions.text import relevance_band
+from quarrion.operators.ordinals import with_row_numbers
 
 #: Label types, the first of which wins a document.
 PRECEDENCE = ["pos", "easy", "hard", "near_miss", "sibling"]
@@ -100,21 +101,12 @@ def seeded_sample(df: DataFrame, number: Column, tie: str, n: int | None, seed:
 
 
 def shards(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """``df`` with ``shard`` from 0: contiguous parts by ``order``, the first ones larger by one where it doesn't go up.
-
-    Ranks come from counts of range partitions, so the order is found without one task sorting all rows.
-    """
-    spread = df.repartitionByRange(max(2, parts), order).sortWithinPartitions(order)
-    spread = spread.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    keyed = spread.withColumn("_i", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
-    sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select("_p", before.alias("base"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    at = F.col("base") + F.col("_i")
-    small, extra = F.floor(F.col("total") / parts), F.pmod(F.col("total"), F.lit(parts))
+    """``df`` with ``shard`` from 0: contiguous parts by ``order``, the first ones larger by one where it doesn't go up."""
+    keyed = with_row_numbers(df, order, "_at", "_total")
+    small, extra = F.floor(F.col("_total") / parts), F.pmod(F.col("_total"), F.lit(parts))
     large = extra * (small + 1)
-    shard = F.when(at < large, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - large) / F.greatest(small, F.lit(1))))
-    return keyed.join(F.broadcast(bases), "_p").withColumn("shard", shard.cast("int")).drop("_p", "_i", "base", "total")
+    shard = F.when(F.col("_at") < large, F.floor(F.col("_at") / (small + 1))).otherwise(extra + F.floor((F.col("_at") - large) / F.greatest(small, F.lit(1))))
+    return keyed.withColumn("shard", shard.cast("int")).drop("_at", "_total")
 
 
 def minibatches(df: DataFrame, label: Column, number: Column, tie: str, size: int, seed: int) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.functions.text import accept_answer, canonical_keyword, first_fragment, normalise_keyword, strip
+from quarrion.operators.ordinals import with_row_numbers
 from quarrion.operators.selection import pack_passages
 
 TextModel = Callable[[], Callable[[pd.Series], list]]
@@ -67,8 +68,8 @@ def embed(df: DataFrame, id_col: str, text_col: str, model: TextModel | None = N
         for texts in batches:
             yield pd.Series(run(texts))
 
-    number = (F.row_number().over(Window.orderBy(id_col)) - 1 + offset).cast("bigint")
-    return df.select(number.alias("vec_id"), F.col(id_col), encode(F.col(text_col)).alias("embedding"))
+    rows = with_row_numbers(df.select(id_col, text_col), id_col, "vec_id")
+    return rows.select((F.col("vec_id") + offset).cast("bigint").alias("vec_id"), F.col(id_col), encode(F.col(text_col)).alias("embedding"))
 
 
 def score_pairs(df: DataFrame, query_col: str, text_col: str, model: PairModel | None = None, name: str = "score") -> DataFrame:
