@@ -157,6 +157,14 @@ def label_balance(df: DataFrame, label: Column, *group: str) -> DataFrame:
     return counts.withColumn("pos_weight", F.round(F.col("negatives") / F.greatest("positives", F.lit(1)), 6))
 
 
+def weighted_log_loss(df: DataFrame, probability: str, label: str, pos_weight: float, *group: str) -> DataFrame:
+    """(n, loss): mean binary cross-entropy with weighted positives; probabilities are kept off 0 and 1."""
+    p = F.least(F.greatest(F.col(probability), F.lit(1e-7)), F.lit(1 - 1e-7))
+    loss = -(pos_weight * F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p))
+    rows = df.where(F.col(probability).isNotNull() & F.col(label).isNotNull())
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 6).alias("loss"))
+
+
 # --- hops ------------------------------------------------------------------------------------------------------
 
 
@@ -203,6 +211,37 @@ def depth_histogram(hops: DataFrame, key: str) -> DataFrame:
     return bins.join(counts, "depth", "left").fillna(0, ["n"])
 
 
+def traversal_summary(hops: DataFrame, gold: DataFrame, visits: DataFrame, key: str) -> DataFrame:
+    """One row over all walks: mean precision, recall and F1 after the last hop, mean attention, coverage counts,
+    mean first gold hop and mean depth.
+
+    A walk covers its gold passages if all of them are among its seeds or the passages it reached.
+    """
+    last = hop_metrics(hops, gold, key).groupBy(key).agg(F.max_by(F.struct("precision", "recall", "f1"), "hop").alias("m"))
+    first = first_gold_hop(hops, gold, key)
+    busy = (F.size("expanded_from") > 0) | (F.size("new_passages") > 0)
+    reached = hops.groupBy(key).agg(
+        F.array_distinct(F.flatten(F.collect_list(F.concat("expanded_from", "new_passages")))).alias("seen"),
+        F.coalesce(F.max(F.when(busy, F.col("hop"))) + 1, F.lit(0)).alias("depth"),
+    )
+    covered = reached.join(gold, key).select(key, "depth", (F.size(F.array_except("gold", "seen")) == 0).cast("int").alias("covered"))
+    attention = gold_attention(visits, gold, key)
+    rows = covered.join(last, key, "left").join(first, key, "left").join(attention, key, "left")
+    mean = lambda c, d=4: F.round(F.avg(c), d)
+    return rows.agg(
+        F.count(F.lit(1)).alias("queries"),
+        mean("m.precision").alias("mean_precision"),
+        mean("m.recall").alias("mean_recall"),
+        mean("m.f1").alias("mean_f1"),
+        mean(F.coalesce("attention", F.lit(0.0))).alias("mean_gold_attention"),
+        F.sum("covered").alias("all_gold_found"),
+        F.sum(F.coalesce((F.col("first_gold_hop") == 0).cast("int"), F.lit(0))).alias("gold_in_first_hop"),
+        mean("first_gold_hop", 2).alias("mean_first_gold_hop"),
+        mean("depth", 2).alias("mean_depth"),
+        F.max("depth").alias("max_depth"),
+    )
+
+
 # --- usage and time --------------------------------------------------------------------------------------------
 
 
@@ -242,4 +281,6 @@ def wilcoxon(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
     sums = ranked.groupBy(*group).agg(
         F.sum("n").alias("pairs"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus")
     )
-    return sums.withColumn("w", F.least("w_plus", "w_minus"))
+    n = F.col("pairs").cast("double")
+    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    return sums.withColumn("w", F.least("w_plus", "w_minus")).withColumn("z", F.round(z, 6))

@@ -167,6 +167,19 @@ def retrieve(queries: DataFrame, documents: DataFrame, k: int, retriever: str, a
     raise ValueError(f"unknown retriever {retriever!r}")
 
 
+def node_similarity(queries: DataFrame, documents: DataFrame, pairs: DataFrame, alpha: float = 0.5, decimals: int = 4) -> DataFrame:
+    """(query_id, doc_id, similarity) of the given pairs: ``alpha`` x inner product + (1 - alpha) x BM25, not normalised.
+
+    This is how a walk rates the nodes that it visits; a null vector has product 0.
+    """
+    wanted = pairs.select("query_id", "doc_id").distinct()
+    joined = wanted.join(queries.select("query_id", "q_unit"), "query_id").join(documents.select("doc_id", "unit"), "doc_id")
+    scored = bm25_scores(queries.where(F.size("keywords") > 0), documents.select("doc_id", "keywords"))
+    joined = joined.join(scored, ["query_id", "doc_id"], "left")
+    cosine = F.coalesce(dot(F.col("q_unit"), F.col("unit")), F.lit(0.0))
+    return joined.select("query_id", "doc_id", F.bround(alpha * cosine + (1 - alpha) * F.coalesce("score", F.lit(0.0)), decimals).alias("similarity"))
+
+
 def select_seeds(queries: DataFrame, documents: DataFrame, k: int = 20, alpha: float = 0.5) -> DataFrame:
     """Seeds of a traversal: the hybrid top k."""
     return hybrid_topk(queries, documents, k, alpha)

@@ -13,7 +13,7 @@ from quarrion.operators import models as O
 from quarrion.operators import nearmiss as N
 from quarrion.operators.chunking import ChunkConfig, chunk_table
 from quarrion.plans import base as B
-from quarrion.session import spread, table
+from quarrion.session import checkpointed, spread, table
 from quarrion.sources.readers import unaliased
 from quarrion.sources.sinks import unprocessed
 
@@ -176,10 +176,9 @@ def retriever_examples(spark: SparkSession, d: str) -> Frame:
 
 def split_by_difficulty(spark: SparkSession, d: str) -> Frame:
     """Examples per label type and difficulty, and those of an early and a late epoch."""
-    rows = retriever_examples(spark, d)
-    early = E.curriculum(rows, 0, 2).groupBy("label_type").agg(F.count(F.lit(1)).alias("early"))
-    late = E.curriculum(rows, 3, 2, mixed=False).groupBy("label_type").agg(F.count(F.lit(1)).alias("late"))
-    counts = rows.groupBy("label_type", "difficulty").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(retriever_examples(spark, d).groupBy("label_type", "difficulty").agg(F.count(F.lit(1)).alias("n")))
+    early = E.curriculum(counts, 0, 2).groupBy("label_type").agg(F.sum("n").alias("early"))
+    late = E.curriculum(counts, 3, 2, mixed=False).groupBy("label_type").agg(F.sum("n").alias("late"))
     return counts.join(early, "label_type", "left").join(late, "label_type", "left").fillna(0)
 
 

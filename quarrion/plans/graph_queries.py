@@ -95,6 +95,17 @@ ORACLE_SQL = {
         (SELECT count(*) FROM sn WHERE sn.query_id = hl.query_id AND sn.hop BETWEEN 1 AND hl.hop + 1 AND list_contains(gd.gold, sn.node)) AS hits, len(gd.gold) AS n FROM hl JOIN gd USING (query_id)),
         y AS (SELECT query_id, hop, coalesce(hits / nullif(seen, 0), 0) AS p, coalesce(hits / nullif(n, 0), 0) AS r FROM x)
         SELECT query_id, hop, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM y""",
+    "traversal_summary": f"""WITH RECURSIVE {_LOG}, x AS (SELECT hl.query_id, hl.hop, (SELECT count(*) FROM sn WHERE sn.query_id = hl.query_id AND sn.hop BETWEEN 1 AND hl.hop + 1) AS seen,
+        (SELECT count(*) FROM sn WHERE sn.query_id = hl.query_id AND sn.hop BETWEEN 1 AND hl.hop + 1 AND list_contains(gd.gold, sn.node)) AS hits, len(gd.gold) AS n FROM hl JOIN gd USING (query_id)),
+        y AS (SELECT query_id, hop, coalesce(hits / nullif(seen, 0), 0) AS p, coalesce(hits / nullif(n, 0), 0) AS r FROM x),
+        z AS (SELECT query_id, arg_max(round(p, 4), hop) AS p, arg_max(round(r, 4), hop) AS r, arg_max(round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4), hop) AS f1, max(hop) + 1 AS depth FROM y GROUP BY 1),
+        fh AS (SELECT query_id, min(CASE WHEN hop = 0 AND list_has_any(expanded_from, gold) THEN 0 WHEN list_has_any(new_passages, gold) THEN hop END) AS h FROM hl JOIN gd USING (query_id) GROUP BY 1),
+        cv AS (SELECT query_id, CAST((SELECT count(*) FROM sn WHERE sn.query_id = gd.query_id AND list_contains(gd.gold, sn.node)) = len(gd.gold) AS INT) AS c FROM gd WHERE query_id IN (SELECT query_id FROM hl)),
+        vs AS (SELECT query_id, regexp_replace(regexp_replace(chunk_id, '__sent[0-9]+$', ''), '__chunk[0-9]+$', '') AS passage, count(*) AS n FROM retrieval_scores GROUP BY 1, 2),
+        atn AS (SELECT query_id, round(sum(CASE WHEN list_contains(gd.gold, passage) THEN n ELSE 0 END) / sum(n), 6) AS a FROM vs JOIN gd USING (query_id) GROUP BY 1)
+        SELECT count(*) AS queries, round(avg(p), 4) AS mean_precision, round(avg(r), 4) AS mean_recall, round(avg(f1), 4) AS mean_f1, round(avg(coalesce(a, 0)), 4) AS mean_gold_attention,
+        sum(c) AS all_gold_found, sum(CASE WHEN h = 0 THEN 1 ELSE 0 END) AS gold_in_first_hop, round(avg(h), 2) AS mean_first_gold_hop, round(avg(depth), 2) AS mean_depth, max(depth) AS max_depth
+        FROM z JOIN cv USING (query_id) LEFT JOIN fh USING (query_id) LEFT JOIN atn USING (query_id)""",
     "first_gold_hop": f"""WITH RECURSIVE {_LOG} SELECT query_id, min(CASE WHEN hop = 0 AND list_has_any(expanded_from, gold) THEN 0 WHEN list_has_any(new_passages, gold) THEN hop END) AS first_gold_hop
         FROM hl JOIN gd USING (query_id) GROUP BY 1""",
     "hop_depth_histogram": f"""WITH RECURSIVE {_LOG}, x AS (SELECT query_id, coalesce(max(CASE WHEN len(expanded_from) > 0 OR len(new_passages) > 0 THEN hop END) + 1, 0) AS depth FROM hl GROUP BY 1)

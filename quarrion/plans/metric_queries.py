@@ -106,6 +106,19 @@ def hop_metrics(spark: SparkSession, d: str) -> Frame:
     return M.hop_metrics(*_hops(spark, d), "query_id")
 
 
+def traversal_summary(spark: SparkSession, d: str) -> Frame:
+    """Means and counts over all walks."""
+    hops, gold = _hops(spark, d)
+    visits = table(spark, d, "retrieval_scores").groupBy("query_id", passage_of(F.col("chunk_id")).alias("passage")).agg(F.count(F.lit(1)).alias("visits"))
+    return M.traversal_summary(hops, gold, visits, "query_id")
+
+
+def log_loss(spark: SparkSession, d: str) -> Frame:
+    """Weighted log loss of the older run's scores for pairs of Jaccard index 0.7 or more."""
+    rows = table(spark, d, "scored_pairs").withColumn("y", (F.col("jaccard") >= 0.7).cast("int"))
+    return M.weighted_log_loss(rows, "score", "y", 3.0)
+
+
 def gold_attention(spark: SparkSession, d: str) -> Frame:
     """Share of retrieval rows that are of gold passages."""
     visits = table(spark, d, "retrieval_scores").groupBy("query_id", passage_of(F.col("chunk_id")).alias("passage")).agg(F.count(F.lit(1)).alias("visits"))
@@ -188,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hits_recall_precision, first_hit_ranks, recall_curve, exact_match_f1, mean_em_f1, binary_f1_confusion, tau_sweep, tau_choice,
-        label_balance, hop_metrics, gold_attention, first_gold_hop, hop_depth_histogram, usage_merge, usage_full_outer,
+        label_balance, hop_metrics, traversal_summary, log_loss, gold_attention, first_gold_hop, hop_depth_histogram, usage_merge, usage_full_outer,
         percentiles, throughput, reader_timing, wilcoxon_w, windowed_counts, running_usage,
     )
 }
@@ -254,7 +267,9 @@ ORACLE_SQL = {
         x AS (SELECT dataset, round(a.v - b.v, 9) AS d FROM m a JOIN m b USING (dataset, question_id) WHERE a.variant = 'baseline_dense_k20' AND b.variant = 'baseline_hybrid_k20' AND a.v IS NOT NULL AND b.v IS NOT NULL),
         y AS (SELECT dataset, d, rank() OVER (PARTITION BY dataset ORDER BY abs(d)) AS lo, count(*) OVER (PARTITION BY dataset, abs(d)) AS n FROM x WHERE d <> 0),
         z AS (SELECT dataset, count(*) AS pairs, sum(CASE WHEN d > 0 THEN lo + (n - 1) / 2 ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN lo + (n - 1) / 2 ELSE 0 END) AS w_minus FROM y GROUP BY 1)
-        SELECT *, least(w_plus, w_minus) AS w FROM z""",
+        SELECT *, least(w_plus, w_minus) AS w, round((least(w_plus, w_minus) - pairs * (pairs + 1) / 4) / sqrt(pairs * (pairs + 1) * (2 * pairs + 1) / 24), 6) AS z FROM z""",
+    "log_loss": """WITH x AS (SELECT least(greatest(score, 1e-7), 1 - 1e-7) AS p, CAST(jaccard >= 0.7 AS INT) AS y FROM scored_pairs WHERE score IS NOT NULL AND jaccard IS NOT NULL)
+        SELECT count(*) AS n, round(avg(-(3.0 * y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss FROM x""",
     "windowed_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "running_usage": """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS running, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events""",
 }

@@ -102,6 +102,13 @@ def seed_selection(spark: SparkSession, d: str) -> Frame:
     return T.select_seeds(B.vector_queries(docs), docs).select("query_id", "doc_id", "rank")
 
 
+def node_similarity(spark: SparkSession, d: str) -> Frame:
+    """Similarity of each query to its five densest neighbours, as a walk rates nodes."""
+    docs = B.vectors(spark, d)
+    queries = B.vector_queries(docs)
+    return T.node_similarity(queries, docs, T.dense_topk(queries, docs, 5))
+
+
 def minmax_norm(spark: SparkSession, d: str) -> Frame:
     """Retrieval scores as shares of their query's range."""
     return B.scores(spark, d).select("query_id", "passage_id", F.round(T.min_max("score", "query_id"), 6).alias("share"))
@@ -147,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_overlap_ndcg, ccr_report, pair_confusion, bm25_stats, bm25_topk, dense_topk, hybrid_topk, hybrid_no_keywords,
-        seed_selection, minmax_norm, greedy_budget_select, pack_passages, packing_counts, reader_budget, helpfulness_rank,
+        seed_selection, node_similarity, minmax_norm, greedy_budget_select, pack_passages, packing_counts, reader_budget, helpfulness_rank,
     )
 }
 
@@ -228,6 +235,9 @@ ORACLE_SQL = {
     "hybrid_topk": _hybrid(10) + " SELECT query_id, doc_id, score, rank FROM hy WHERE rank <= 10",
     "hybrid_no_keywords": _hybrid(10, "CAST([] AS VARCHAR[])") + " SELECT query_id, doc_id, score, rank FROM hy WHERE rank <= 10",
     "seed_selection": _hybrid(20) + " SELECT query_id, doc_id, rank FROM hy WHERE rank <= 20",
+    "node_similarity": _hybrid(10)
+    + """, n5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(s, 4) DESC, doc_id) AS r5 FROM dn) WHERE r5 <= 5)
+        SELECT query_id, doc_id, round_even(0.5 * list_inner_product(vq.qu, v.unit) + 0.5 * coalesce(bm25, 0), 4) AS similarity FROM n5 JOIN vq USING (query_id) JOIN v USING (doc_id) LEFT JOIN bm USING (query_id, doc_id)""",
     "minmax_norm": f"""WITH {B.S} SELECT query_id, passage_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 0
         ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS share FROM s WINDOW w AS (PARTITION BY query_id)""",
     "greedy_budget_select": f"""WITH RECURSIVE {_TEXTS}, y AS (SELECT query_id, passage_id, rank, coalesce(len({_NW.format(x='text')}), 0) AS size FROM x WHERE score >= 0.05),

@@ -18,7 +18,7 @@ Frame = DataFrame
 
 def clean_text(spark: SparkSession, d: str) -> Frame:
     """Markup-free text of every document, without Unicode composition."""
-    return table(spark, d, "documents").select("doc_id", X.clean_text("text", compose=False).alias("clean"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.clean_text("text", compose=False).alias("clean"))
 
 
 def clean_text_nfkc(spark: SparkSession, d: str) -> Frame:

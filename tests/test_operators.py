@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrion.functions import text as X
 from quarrion.operators import examples as E
 from quarrion.operators import graph as G
+from quarrion.operators import ingest
 from quarrion.operators import metrics as M
 from quarrion.operators import nearmiss as N
 from quarrion.operators import report as P
@@ -172,6 +173,24 @@ def test_sources(spark, tmp_path):
     assert all(schema(name) for name in SCHEMAS)
 
 
+def test_ingest(spark):
+    raw = spark.createDataFrame(
+        [("q1", "Who?", "Ann", [("A b", ["One.", "Two <b>x</b>."]), ("--", ["Three.", " "])], [("A b", 1), ("--", 0), ("gone", 3)])], schema("nested_context")
+    )
+    tables = ingest.ingest_contexts(raw, "ds", "dev")
+    q = tables["questions"].collect()[0]
+    assert q["gold_passages"] == ["q1__no_title_sent0", "q1__a_b_sent1"] and q["gold_passages_full"] == ["q1__no_title_full", "q1__a_b_full"]
+    assert {r["passage_id"]: r["text"] for r in tables["full_passages"].collect()} == {"q1__a_b_full": "One. Two x .", "q1__no_title_full": "Three."}
+    assert tables["passages"].count() == 3 and tables["chunks"].count() == 2 and tables["discourse_chunks"].count() == 2
+    queries = spark.createDataFrame([("c1", "cap", "Dev"), ("c2", "tax", "train"), ("c3", "all", None)], "query_id string, text string, split string")
+    corpus = spark.createDataFrame([("d1", "One."), ("d2", "word " * 300)], "doc_id string, text string")
+    qrels = spark.createDataFrame([("c1", "d1", 4), ("c1", "d1", 1), ("c1", "zz", 4), ("c2", "d2", 3), ("c3", "d2", 2)], "query_id string, doc_id string, score int")
+    clause = ingest.ingest_clauses(queries, corpus, qrels, "dev")
+    assert {r["query_id"]: [tuple(x) for x in r["qrels"]] for r in clause["questions"].collect()} == {"c1": [("d1", 4, "pos")], "c3": [("d2", 2, "hard")]}
+    assert [r["query_id"] for r in clause["packages"].collect()] == ["c1"]
+    assert {r["passage_id"] for r in clause["chunks"].collect()} >= {"d1", "d2__chunk0", "d2__chunk1"}
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
     out = str(tmp_path / "t")
