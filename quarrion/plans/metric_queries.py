@@ -9,7 +9,7 @@ from quarrion.functions.ids import passage_of
 from quarrion.operators import metrics as M
 from quarrion.operators.retrieval import row_ranks
 from quarrion.plans import base as B
-from quarrion.session import table
+from quarrion.session import checkpointed, table
 
 Frame = DataFrame
 
@@ -98,7 +98,7 @@ def label_balance(spark: SparkSession, d: str) -> Frame:
 def _hops(spark: SparkSession, d: str) -> tuple[Frame, Frame]:
     from quarrion.plans.graph_queries import hop_log, hop_gold
 
-    return hop_log(spark, d), hop_gold(spark, d)
+    return checkpointed(hop_log(spark, d)), hop_gold(spark, d)
 
 
 def hop_metrics(spark: SparkSession, d: str) -> Frame:
