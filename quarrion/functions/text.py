@@ -156,9 +156,13 @@ def first_fragment(text: str | Column) -> Column:
 
 def accept_answer(text: str | Column, max_words: int = 40, repeats: int = 3) -> Column:
     """``text``, or null if it has too many words or repeats one too often."""
-    said = words(text)
-    often = F.exists(F.array_distinct(said), lambda w: F.size(F.filter(said, lambda x: x == w)) > repeats)
-    return F.when((F.size(said) <= max_words) & ~often, _col(text))
+
+    def fits(said: Column) -> Column:
+        often = F.exists(F.array_distinct(said), lambda w: F.size(F.filter(said, lambda x: x == w)) > repeats)
+        return (F.size(said) <= max_words) & ~often
+
+    # held in an array, so that the text is not divided again for each word
+    return F.when(F.get(F.transform(F.array(words(text)), fits), F.lit(0)), _col(text))
 
 
 def clean_tokens(tokens: str | Column) -> Column:

@@ -81,13 +81,16 @@ def exact_match(prediction: Column, gold: Column) -> Column:
 def token_f1(prediction: Column, gold: Column) -> Column:
     """F1 of the token multisets of the answer forms; 1 if both are empty, 0 if one is."""
     a, b = (F.filter(F.split(normalise_answer(x), " "), lambda t: t != "") for x in (prediction, gold))
-    count = lambda tokens, w: F.size(F.filter(tokens, lambda t: t == w))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
-        .when(common == 0, 0.0)
-        .otherwise(2.0 * common / (F.size(a) + F.size(b)))
-    )
+
+    def score(pair: Column) -> Column:
+        said, want = pair["a"], pair["b"]
+        count = lambda tokens, w: F.size(F.filter(tokens, lambda t: t == w))
+        common = F.aggregate(F.array_distinct(said), F.lit(0), lambda acc, w: acc + F.least(count(said, w), count(want, w)))
+        both_empty = (F.size(said) == 0) & (F.size(want) == 0)
+        return F.when(both_empty, 1.0).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(said) + F.size(want)))
+
+    # held in a struct, so that the answer forms are not made again for each token
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), score), F.lit(0))
 
 
 def best_over_golds(prediction: Column, golds: Column) -> Column:
