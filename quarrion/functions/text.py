@@ -38,6 +38,8 @@ KEYWORDS_DROPPED = ["what_year", "the_years", "year"]
 NUMBER_WORDS = "one two three four five six seven eight nine ten first second third".split()
 #: Retrievers that a variant name may hold (fixed values).
 RETRIEVERS = ["dense", "sparse", "hybrid"]
+#: Prefixes of variant names and the method labels that they stand for (fixed values of the runs' data).
+METHODS = [("da_exit_", "DA_EXIT"), ("exit_", "EXIT")]
 
 
 def _col(column: str | Column) -> Column:
@@ -205,7 +207,7 @@ def score_to_unit(score: str | Column, low: int, high: int) -> Column:
 def parse_variant(variant: str | Column) -> Column:
     """struct(method, retriever, top_k_chunks, top_k_sentences, chunking_mode, sentence_mode) of a run's variant name."""
     name = _col(variant)
-    method = F.when(name.startswith("da_exit_"), "DA_EXIT").when(name.startswith("exit_"), "EXIT")
+    method = F.coalesce(*[F.when(name.startswith(prefix), label) for prefix, label in METHODS])
     rest = F.regexp_replace(name, "^(da_)?exit_", "")
     tokens = F.filter(F.split(rest, "_"), lambda t: t != "")
     retriever = F.get(F.filter(tokens, lambda t: t.isin(*RETRIEVERS)), F.lit(0))
@@ -239,12 +241,8 @@ def parse_variant(variant: str | Column) -> Column:
 def assign_approach(variant: str | Column, retriever: str | Column) -> Column:
     """Approach label of a run."""
     name = _col(variant)
-    return (
-        F.when(name.startswith("da_exit_"), "DA_EXIT")
-        .when(name.startswith("exit_"), "EXIT")
-        .when(_col(retriever).isin(*RETRIEVERS), _col(retriever))
-        .otherwise("unknown")
-    )
+    method = F.coalesce(*[F.when(name.startswith(prefix), label) for prefix, label in METHODS])
+    return F.coalesce(method, F.when(_col(retriever).isin(*RETRIEVERS), _col(retriever)), F.lit("unknown"))
 
 
 def parse_labelled(text: str | Column) -> Column:
