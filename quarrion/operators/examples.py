@@ -41,6 +41,17 @@ def training_packages(judged: DataFrame, cap: int | None = None) -> DataFrame:
     return out.where(F.size("pos") > 0)
 
 
+def package_rows(judged: DataFrame) -> DataFrame:
+    """(query_id, band, rank, doc_id, score): all of ``training_packages`` as rows, however long a list is.
+
+    No list is collected, so a query with any number of judged documents fits; ranks are from 1 in each band.
+    """
+    rows = judged.select("query_id", "doc_id", "score", relevance_band("score").alias("band")).where("band IS NOT NULL")
+    order = Window.partitionBy("query_id", "band").orderBy(F.desc("score"), "doc_id")
+    kept = rows.join(rows.where("band = 'pos'").select("query_id").distinct(), "query_id", "left_semi")
+    return kept.select("query_id", "band", F.row_number().over(order).alias("rank"), "doc_id", "score")
+
+
 def retriever_examples(judged: DataFrame, mapped: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, label_type, label): judged documents by band, and positives of near-miss (and same-category)
     queries that the query has not judged. Each document has one label, the first of ``PRECEDENCE``.

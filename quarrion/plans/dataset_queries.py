@@ -163,6 +163,11 @@ def training_packages(spark: SparkSession, d: str) -> Frame:
     return p.select("query_id", flat("pos"), flat("hard_neg"), flat("neg"))
 
 
+def training_packages_all(spark: SparkSession, d: str) -> Frame:
+    """All positives, hard and easy negatives of each query, one ranked row a document."""
+    return E.package_rows(qrels_dedupe(spark, d))
+
+
 def _question_neighbours(spark: SparkSession, d: str) -> Frame:
     sets = _sets(spark, d)
     return N.near_miss_map(N.shared_term_pairs(sets, 0.6), sets)[0]
@@ -305,7 +310,7 @@ QUERIES = {
     for f in (
         sentence_split, discourse_flags, sentence_candidates, discourse_passages, anaphora_hits, chunk_standard, chunk_discourse, context_lookup,
         near_miss_pairs_intra, near_miss_pairs_cross, seq_ratio, near_miss_top, near_miss_map, unknown_near_miss, sibling_map, ontology_summary,
-        trick_queries_template, qrels_dedupe, relevance_bands, training_packages, retriever_examples, split_by_difficulty, carve_split,
+        trick_queries_template, qrels_dedupe, relevance_bands, training_packages, training_packages_all, retriever_examples, split_by_difficulty, carve_split,
         carve_passages, seeded_sample, resume_antijoin, shards, minibatches, sentence_examples, alias_resolution, gold_texts,
         question_passages, same_question_negatives, gold_levels, latest_delivery, embed, entity_keywords, extractive_answer, pair_scores,
     )
@@ -357,6 +362,8 @@ ORACLE_SQL = {
     "relevance_bands": f"WITH {_QR} SELECT query_id, {_BAND} AS band, count(*) AS n FROM qr GROUP BY 1, 2",
     "training_packages": f"""WITH {_QR}, x AS (SELECT *, {_BAND} AS band FROM qr), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, band ORDER BY score DESC, doc_id) AS r FROM x WHERE band IS NOT NULL)
         SELECT query_id, {_listed('pos')} AS pos, {_listed('hard')} AS hard_neg, {_listed('neg')} AS neg FROM y WHERE r <= 20 GROUP BY 1 HAVING count(*) FILTER (band = 'pos') > 0""",
+    "training_packages_all": f"""WITH {_QR}, x AS (SELECT *, {_BAND} AS band FROM qr) SELECT query_id, band, row_number() OVER (PARTITION BY query_id, band ORDER BY score DESC, doc_id) AS rank, doc_id, score
+        FROM x WHERE band IS NOT NULL AND query_id IN (SELECT query_id FROM x WHERE band = 'pos')""",
     "retriever_examples": f"WITH {_EX} SELECT * FROM ex",
     "split_by_difficulty": f"""WITH {_EX} SELECT label_type, difficulty, count(*) AS n, count(*) FILTER (difficulty IN ('pos', 'easy')) AS early, count(*) FILTER (difficulty IN ('pos', 'hard')) AS late FROM ex GROUP BY 1, 2""",
     "carve_split": f"WITH {_CARVE} SELECT question_id, part FROM pt",
