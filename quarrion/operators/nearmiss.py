@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from quarrion.functions.text import label_tokens
 from quarrion.operators.metrics import ndcg
 from quarrion.operators.retrieval import row_ranks
+from quarrion.session import parallelism
 
 #: Weights of Jaccard index, overlap coefficient and sequence ratio in a pair's score (fixed values).
 W_JACCARD, W_OVERLAP, W_RATIO = 0.4, 0.3, 0.3
@@ -71,6 +73,111 @@ def shared_term_pairs(sets: DataFrame, jaccard: float, within: bool | None = Non
     return joined.select("a", "b", scores.alias("s")).select("a", "b", "s.jaccard", "s.overlap").where(F.col("jaccard") >= F.lit(jaccard) - 1e-12)
 
 
+def least_shared(small: Column, large: Column, rest: Column) -> Column:
+    """Least number of shared tokens at which two sets of these sizes have 0.4 jaccard + 0.3 overlap of ``rest``."""
+    both = small + large
+    b = W_JACCARD * small + W_OVERLAP * both + rest * small
+    root = (b - F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * W_OVERLAP * rest * small * both))) / (2 * W_OVERLAP)
+    return F.when(rest > 0, F.greatest(F.lit(1), F.ceil(root - 1e-6))).otherwise(F.lit(1))
+
+
+def common_length(a: str, b: str, masks: dict[str, int]) -> int:
+    """Length of the longest common subsequence; ``masks`` has the places of each character of ``a`` as bits."""
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        if m := masks.get(c):
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
+
+
+def bounded_ratio(least: float) -> Callable[..., Column]:
+    """Sequence ratio of (a, b) where base + 0.3 ratio can reach ``least``, else null.
+
+    Matching blocks are a common subsequence, so 2 LCS / length bounds the ratio; and so do shared character counts.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right, base in batches:
+            out = np.full(len(left), np.nan)
+            want = (least - 1e-6 - base.to_numpy()) / W_RATIO
+            codes, texts = pd.factorize(pd.concat([left, right]))
+            counts = np.zeros((len(texts), 64), dtype=np.int32)  # characters of one class count as equal: still a bound
+            for i, text in enumerate(texts):
+                np.add.at(counts[i], np.array([ord(c) % 64 for c in text], dtype=np.int64), 1)
+            l, r = codes[: len(left)], codes[len(left) :]
+            total = counts.sum(axis=1)
+            total = np.maximum(total[l] + total[r], 1)
+            at = np.flatnonzero(2 * np.minimum(counts[l], counts[r]).sum(axis=1) / total >= want)
+            masks: dict[int, dict[str, int]] = {}
+            matchers: dict[int, difflib.SequenceMatcher] = {}
+            for i in at.tolist():
+                a, b = texts[l[i]], texts[r[i]]
+                if (m := masks.get(l[i])) is None:
+                    m = masks[l[i]] = {}
+                    for k, c in enumerate(a):
+                        m[c] = m.get(c, 0) | 1 << k
+                if 2 * common_length(a, b, m) / total[i] >= want[i]:
+                    if (s := matchers.get(r[i])) is None:
+                        s = matchers[r[i]] = difflib.SequenceMatcher(None, "", b)
+                    s.set_seq1(a)
+                    out[i] = s.ratio()
+            yield pd.Series(out).where(~np.isnan(out), None).astype("float64")
+
+    return ratio.asNondeterministic()
+
+
+#: Sets of one token in a join key; a commoner token's sets are divided.
+TOKEN_BLOCK = 2000
+
+
+def scored_over(sets: DataFrame, least: float, within: bool | None = None, both: bool = False) -> DataFrame:
+    """(a, b, score, jaccard, overlap, seq_ratio) of all pairs a < b that share a token and score ``least`` or more.
+
+    The filter follows from ``least`` alone: the ratio is 2 min / (sum of lengths) at most, which leaves a least number
+    of shared tokens by the sizes of both sets, and the rarest shared token is among the first n - shared + 1 of each.
+    With ``both`` each pair comes in both directions where that one's score is enough (the ratio is not symmetric).
+    ``least`` has to be over 0.3.
+    """
+    if least <= W_RATIO:
+        raise ValueError("pairs are bounded only for a least score over 0.3")
+    rest = F.lit(least - 1e-6 - W_RATIO)
+    exploded = sets.where(F.size("tokens") > 0).select("id", F.explode("tokens").alias("token"))
+    df = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ordered = exploded.join(df, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    rows = ordered.join(sets.select("id", "category", "label"), "id").withColumn("n", F.size("own"))
+    rows = rows.select("*", F.length("label").alias("c"), F.transform("own", lambda x: x["token"]).alias("ts"), F.posexplode("own").alias("p", "t"))
+    rows = rows.select("id", "category", "label", "n", "c", "ts", (F.col("p") + 1).alias("p"), "t.token", F.ceil(F.col("t.df") / TOKEN_BLOCK).cast("int").alias("blocks"))
+    side = lambda x, *more: [F.col(k).alias(f"{x}_{k}") for k in ("id", "category", "label", "n", "c", "ts", "p")] + list(more)
+    small = rows.where(F.col("p") <= F.col("n") - least_shared(F.col("n"), F.col("n"), rest) + 1)
+    small = small.select("token", *side("s"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    sizes = F.sequence(F.lit(1), F.col("n"))
+    most = F.array_max(F.filter(sizes, lambda k: F.col("p") <= F.col("n") - least_shared(k, F.col("n"), rest) + 1))
+    large = rows.withColumn("most", most).where("most IS NOT NULL")
+    large = large.select("token", *side("l", F.col("most")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    sn, ln = F.col("s_n"), F.col("l_n")
+    parts = 8 * parallelism(sets.sparkSession)  # named, since the work is in the pairs and not in the bytes
+    meet = small.repartition(parts, "token", "block").join(large.repartition(parts, "token", "block").hint("shuffle_merge"), ["token", "block"])
+    meet = meet.where("s_n <= l_n AND s_n <= most AND (s_n < l_n OR s_id < l_id) AND s_id <> l_id")
+    if within is not None:
+        meet = meet.where(F.col("s_category") == F.col("l_category") if within else F.col("s_category") != F.col("l_category"))
+    ratio = 2 * F.least("s_c", "l_c") / F.greatest(F.lit(1), F.col("s_c") + F.col("l_c"))
+    need = least_shared(sn, ln, F.lit(least - 1e-6) - W_RATIO * ratio)
+    meet = meet.where((F.col("s_p") <= sn - need + 1) & (F.col("l_p") <= ln - need + 1) & (sn >= need))
+    meet = meet.withColumn("shared", F.array_intersect("s_ts", "l_ts")).where((F.get("shared", F.lit(0)) == F.col("token")) & (F.size("shared") >= need))
+    n = F.size("shared")
+    meet = meet.select("*", (n / (sn + ln - n)).alias("jaccard"), (n / sn).alias("overlap"))
+    ends = [F.struct(F.col(f"{x}_id").alias("a"), F.col(f"{y}_id").alias("b"), F.col(f"{x}_label").alias("la"), F.col(f"{y}_label").alias("lb")) for x, y in ("sl", "ls")]
+    one = F.explode(F.array(*ends)) if both else F.when(F.col("s_id") < F.col("l_id"), ends[0]).otherwise(ends[1])
+    pairs = meet.select(one.alias("e"), "jaccard", "overlap").select("e.*", "jaccard", "overlap")
+    base = W_JACCARD * F.col("jaccard") + W_OVERLAP * F.col("overlap")
+    scored = pairs.withColumn("seq_ratio", bounded_ratio(least)("la", "lb", base))
+    scored = scored.withColumn("score", F.round(base + W_RATIO * F.col("seq_ratio"), 6))
+    return scored.where(F.col("score") >= least).select("a", "b", "score", "jaccard", "overlap", "seq_ratio")
+
+
 def score_pairs(pairs: DataFrame, labels: DataFrame, least: float = 0.0) -> DataFrame:
     """``pairs`` (a, b, jaccard, overlap) with seq_ratio and score; pairs whose score can't reach ``least`` skip the ratio."""
     hopeful = pairs.where(W_JACCARD * F.col("jaccard") + W_OVERLAP * F.col("overlap") + W_RATIO >= least)

@@ -88,9 +88,15 @@ def _rounded(pairs: Frame) -> Frame:
 
 
 def seq_ratio(spark: SparkSession, d: str) -> Frame:
-    """Score of similar questions with their sequence ratio."""
-    sets = _sets(spark, d)
-    return N.score_pairs(N.shared_term_pairs(sets, 0.6), sets, 0.6)
+    """All pairs of questions of a combined score of 0.6, with their sequence ratio."""
+    return N.scored_over(_sets(spark, d), 0.6)
+
+
+def near_miss_mined(spark: SparkSession, d: str) -> Frame:
+    """Best partners of each question over all questions, six within its dataset and two of others, one row a pair."""
+    scored = lambda within: N.scored_over(_sets(spark, d), 0.6, within, both=True)
+    pairs = N.top_pairs(scored(True), 6).unionByName(N.top_pairs(scored(False), 2))
+    return pairs.select("a", "b", "score")
 
 
 def near_miss_top(spark: SparkSession, d: str) -> Frame:
@@ -309,7 +315,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentence_split, discourse_flags, sentence_candidates, discourse_passages, anaphora_hits, chunk_standard, chunk_discourse, context_lookup,
-        near_miss_pairs_intra, near_miss_pairs_cross, seq_ratio, near_miss_top, near_miss_map, unknown_near_miss, sibling_map, ontology_summary,
+        near_miss_pairs_intra, near_miss_pairs_cross, seq_ratio, near_miss_top, near_miss_mined, near_miss_map, unknown_near_miss, sibling_map, ontology_summary,
         trick_queries_template, qrels_dedupe, relevance_bands, training_packages, training_packages_all, retriever_examples, split_by_difficulty, carve_split,
         carve_passages, seeded_sample, resume_antijoin, shards, minibatches, sentence_examples, alias_resolution, gold_texts,
         question_passages, same_question_negatives, gold_levels, latest_delivery, embed, entity_keywords, extractive_answer, pair_scores,

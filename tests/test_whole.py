@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+import re
+
+import pytest
+
 from pyspark.sql import functions as F
 
 from quarrion.operators import examples as E
+from quarrion.operators import nearmiss as N
 from quarrion.plans import registry
 
 
@@ -22,3 +28,31 @@ def test_package_query_keeps_all_judged(spark, data):
     judged = registry.QUERIES["qrels_dedupe"](spark, data)
     positive = judged.where("score >= 3").select("query_id").distinct()
     assert registry.QUERIES["training_packages_all"](spark, data).count() == judged.join(positive, "query_id", "left_semi").count()
+
+
+def combined(a, b):
+    x, y = (set(re.findall("[a-z0-9]+", t)) for t in (a, b))
+    if not x or not y:
+        return 0.0
+    n = len(x & y)
+    return round(0.4 * n / len(x | y) + 0.3 * n / min(len(x), len(y)) + 0.3 * difflib.SequenceMatcher(None, a, b).ratio(), 6)
+
+
+@pytest.mark.parametrize("least", [0.4, 0.6])
+@pytest.mark.parametrize("within", [None, True, False])
+def test_scored_pairs_are_those_of_brute_force(spark, data, within, least):
+    sets = registry_sets(spark, data).limit(250).localCheckpoint()
+    rows = [(r["id"], r["category"], r["label"]) for r in sets.collect()]
+    fits = lambda c, d: within is None or (c == d) == within
+    want = {(a, b): s for a, c, x in rows for b, d, y in rows if a != b and fits(c, d) and (s := combined(x, y)) >= least}
+    assert {(r["a"], r["b"]): r["score"] for r in N.scored_over(sets, least, within, both=True).collect()} == want
+    got = N.scored_over(sets, least, within).collect()
+    assert {(r["a"], r["b"]): r["score"] for r in got} == {k: s for k, s in want.items() if k[0] < k[1]} and len(got) == len({(r["a"], r["b"]) for r in got})
+
+
+def registry_sets(spark, data):
+    from quarrion.plans.dataset_queries import _sets
+
+    extra = [("x1", "c", "who"), ("x2", "c", "who was the first"), ("x3", "d", "Who?"), ("x4", "d", "??")]
+    more = N.label_sets(spark.createDataFrame(extra, "i string, c string, t string"), "i", "t", F.col("c"))
+    return more.unionByName(_sets(spark, data).orderBy("id"))
