@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrion.functions.text import relevance_band
 from quarrion.operators.ordinals import with_row_numbers
+from quarrion.session import checkpointed, parallelism
 
 #: Label types, the first of which wins a document.
 PRECEDENCE = ["pos", "easy", "hard", "near_miss", "sibling"]
@@ -52,26 +53,54 @@ def package_rows(judged: DataFrame) -> DataFrame:
     return kept.select("query_id", "band", F.row_number().over(order).alias("rank"), "doc_id", "score")
 
 
+#: Sibling negatives in one array of ``example_blocks``, on average.
+SIBLING_BLOCK = 512
+
+
 def retriever_examples(judged: DataFrame, mapped: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, label_type, label): judged documents by band, and positives of near-miss (and same-category)
     queries that the query has not judged. Each document has one label, the first of ``PRECEDENCE``.
     """
+    if categories is not None:
+        blocks = example_blocks(judged, mapped, categories)
+        return blocks.select("query_id", F.explode("docs").alias("doc_id"), "label_type", "label")
     kinds = {"pos": "pos", "neg": "easy", "hard": "hard"}
     band = relevance_band("score")
     own = judged.select("query_id", "doc_id", F.coalesce(*[F.when(band == b, k) for b, k in kinds.items()]).alias("label_type")).where("label_type IS NOT NULL")
     positives = own.where("label_type = 'pos'").select(F.col("query_id").alias("neighbour"), "doc_id")
     near = mapped.withColumnRenamed("id", "query_id").join(positives, "neighbour").select("query_id", "doc_id", F.lit("near_miss").alias("label_type"))
     rows = own.unionByName(near)
-    if categories is not None:
-        left, right = categories.select(F.col("id").alias("query_id"), "category"), categories.select(F.col("id").alias("neighbour"), "category")
-        sibling = left.join(right, "category").where("query_id <> neighbour").join(positives, "neighbour")
-        rows = rows.unionByName(sibling.select("query_id", "doc_id", F.lit("sibling").alias("label_type")))
     rows = rows.join(own.where("label_type = 'pos'").select("query_id").distinct(), "query_id", "left_semi")
     rank = F.array_position(F.array(*[F.lit(x) for x in PRECEDENCE]), F.col("label_type"))
     chosen = rows.groupBy("query_id", "doc_id").agg(F.min_by("label_type", rank).alias("label_type"))
     return chosen.withColumn("label", (F.col("label_type") == "pos").cast("int"))
 
 
+def example_blocks(judged: DataFrame, mapped: DataFrame, categories: DataFrame) -> DataFrame:
+    """(query_id, label_type, label, docs): ``retriever_examples`` with its siblings, which come many to an array.
+
+    A query's siblings are the positives of its category without the documents that have a label already (its own
+    positives are among those), so no queries are paired: each meets the blocks of its category's positives.
+    ``categories`` has (id, category), one row an id.
+    """
+    chosen = checkpointed(retriever_examples(judged, mapped))
+    members = chosen.where("label_type = 'pos'").select(F.col("query_id").alias("id"), "doc_id").join(categories.select("id", "category"), "id")
+    pool = checkpointed(members.select("category", "doc_id").distinct())
+    sizes = pool.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / SIBLING_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
+    queries = members.select(F.col("id").alias("query_id"), "category").distinct().join(sizes, "category")
+    labelled = chosen.select("query_id", "doc_id").join(queries, "query_id").join(pool, ["category", "doc_id"], "left_semi")
+    labelled = labelled.select("query_id", "doc_id", block).groupBy("query_id", "block").agg(F.collect_list("doc_id").alias("labelled"))
+    wanted = queries.select("query_id", "category", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    wanted = wanted.join(labelled, ["query_id", "block"], "left")
+    lists = pool.join(sizes, "category").select("category", "doc_id", block).groupBy("category", "block").agg(F.collect_list("doc_id").alias("all"))
+    parts = 4 * parallelism(judged.sparkSession)
+    met = wanted.repartition(parts, "category", "block").join(lists, ["category", "block"])
+    docs = F.when(F.col("labelled").isNull(), F.col("all")).otherwise(F.array_except("all", "labelled"))
+    siblings = met.select("query_id", F.lit("sibling").alias("label_type"), F.lit(0).alias("label"), docs.alias("docs")).where(F.size("docs") > 0)
+    return chosen.select("query_id", "label_type", "label", F.array("doc_id").alias("docs")).unionByName(siblings)
+
+
 def difficulty(label_type: Column) -> Column:
     """pos, easy, or hard for everything else."""
     return F.when(label_type == "pos", "pos").when(label_type == "easy", "easy").otherwise("hard")

@@ -185,6 +185,18 @@ def retriever_examples(spark: SparkSession, d: str) -> Frame:
     return rows.select("query_id", "doc_id", "label_type", "label", E.difficulty(F.col("label_type")).alias("difficulty"))
 
 
+def retriever_examples_all(spark: SparkSession, d: str) -> Frame:
+    """Labelled passages of each query with near-miss and sibling negatives, siblings many to an array."""
+    categories = N.label_sets(B.questions(spark, d), "question_id", "question", F.col("dataset")).select("id", "category")
+    rows = E.example_blocks(qrels_dedupe(spark, d), _question_neighbours(spark, d), categories)
+    return rows.select("query_id", "label_type", "label", E.difficulty(F.col("label_type")).alias("difficulty"), "docs")
+
+
+def split_by_difficulty_all(spark: SparkSession, d: str) -> Frame:
+    """Examples per label type and difficulty, siblings included."""
+    return retriever_examples_all(spark, d).groupBy("label_type", "difficulty").agg(F.sum(F.size("docs")).alias("n"))
+
+
 def split_by_difficulty(spark: SparkSession, d: str) -> Frame:
     """Examples per label type and difficulty, and those of an early and a late epoch."""
     counts = checkpointed(retriever_examples(spark, d).groupBy("label_type", "difficulty").agg(F.count(F.lit(1)).alias("n")))
@@ -316,7 +328,8 @@ QUERIES = {
     for f in (
         sentence_split, discourse_flags, sentence_candidates, discourse_passages, anaphora_hits, chunk_standard, chunk_discourse, context_lookup,
         near_miss_pairs_intra, near_miss_pairs_cross, seq_ratio, near_miss_top, near_miss_mined, near_miss_map, unknown_near_miss, sibling_map, ontology_summary,
-        trick_queries_template, qrels_dedupe, relevance_bands, training_packages, training_packages_all, retriever_examples, split_by_difficulty, carve_split,
+        trick_queries_template, qrels_dedupe, relevance_bands, training_packages, training_packages_all, retriever_examples, retriever_examples_all, split_by_difficulty,
+        split_by_difficulty_all, carve_split,
         carve_passages, seeded_sample, resume_antijoin, shards, minibatches, sentence_examples, alias_resolution, gold_texts,
         question_passages, same_question_negatives, gold_levels, latest_delivery, embed, entity_keywords, extractive_answer, pair_scores,
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrion.operators import examples as E
 from quarrion.operators import nearmiss as N
-from quarrion.plans import registry
+from quarrion.plans import base, registry
 
 
 def test_packages_keep_long_lists(spark):
@@ -56,3 +56,30 @@ def registry_sets(spark, data):
     extra = [("x1", "c", "who"), ("x2", "c", "who was the first"), ("x3", "d", "Who?"), ("x4", "d", "??")]
     more = N.label_sets(spark.createDataFrame(extra, "i string, c string, t string"), "i", "t", F.col("c"))
     return more.unionByName(_sets(spark, data).orderBy("id"))
+
+
+def test_examples_have_siblings(spark):
+    rows = [("q", "d1", 4), ("q", "d2", 0), ("q", "d6", 2), ("r", "d2", 3), ("r", "d3", 4), ("s", "d1", 4), ("s", "d4", 3), ("s", "d6", 3), ("t", "d5", 4), ("u", "d2", 1)]
+    judged = spark.createDataFrame(rows, "query_id string, doc_id string, score int")
+    mapped = spark.createDataFrame([("q", "r")], "id string, neighbour string")
+    categories = spark.createDataFrame([("q", "x"), ("r", "x"), ("s", "x"), ("t", "y"), ("u", "x")], "id string, category string")
+    got = E.retriever_examples(judged, mapped, categories).collect()
+    assert len(got) == len({(r["query_id"], r["doc_id"]) for r in got})
+    assert {(r["query_id"], r["doc_id"]): r["label_type"] for r in got} == {
+        ("q", "d1"): "pos", ("q", "d2"): "easy", ("q", "d6"): "hard", ("q", "d3"): "near_miss", ("q", "d4"): "sibling",
+        ("r", "d2"): "pos", ("r", "d3"): "pos", ("r", "d1"): "sibling", ("r", "d4"): "sibling", ("r", "d6"): "sibling",
+        ("s", "d1"): "pos", ("s", "d4"): "pos", ("s", "d6"): "pos", ("s", "d2"): "sibling", ("s", "d3"): "sibling", ("t", "d5"): "pos",
+    }
+
+
+def test_sibling_query_is_that_of_brute_force(spark, data, monkeypatch):
+    monkeypatch.setattr(E, "SIBLING_BLOCK", 7)
+    own = {(r["query_id"], r["doc_id"]): r["label_type"] for r in registry.QUERIES["retriever_examples"](spark, data).collect()}
+    category = {r["question_id"]: (r["dataset"] or "").strip() or "uncategorized" for r in base.questions(spark, data).collect()}
+    pool = {}
+    for (q, doc), kind in own.items():
+        if kind == "pos" and q in category:
+            pool.setdefault(category[q], set()).add(doc)
+    want = own | {(q, doc): "sibling" for q in {q for q, _ in own} if q in category for doc in pool.get(category[q], ()) if (q, doc) not in own}
+    got = [(r["query_id"], doc, r["label_type"]) for r in registry.QUERIES["retriever_examples_all"](spark, data).collect() for doc in r["docs"]]
+    assert len(got) == len(want) and {(q, doc): kind for q, doc, kind in got} == want and "sibling" in want.values()
