@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrion.functions.text import relevance_band
+from quarrion.functions.text import parse_labelled, relevance_band, strip
 from quarrion.operators.ordinals import with_row_numbers
 from quarrion.session import checkpointed, parallelism
 
@@ -101,6 +101,29 @@ def example_blocks(judged: DataFrame, mapped: DataFrame, categories: DataFrame)
     return chosen.select("query_id", "label_type", "label", F.array("doc_id").alias("docs")).unionByName(siblings)
 
 
+def parse_tricks(pairs: DataFrame) -> DataFrame:
+    """(query_id, near_miss_id, target, target_query_id, text) of the ``trick_queries`` (array of strings) of pairs.
+
+    An item is a labelled text, or a JSON object of text and target. One row a target query and text: of the least pair.
+    """
+    known = pairs.select(strip("query_id").alias("query_id"), strip("near_miss_id").alias("near_miss_id"), "trick_queries").where("query_id <> '' AND near_miss_id <> ''")
+    items = known.select("query_id", "near_miss_id", F.posexplode("trick_queries").alias("place", "item"))
+    keys = ("text", "query", "trick_query", "target", "label", "target_query_id")
+    o = F.from_json("item", ", ".join(f"{k} string" for k in keys))
+    first = lambda *names: F.coalesce(*[F.nullif(strip(o[k]), F.lit("")) for k in names])
+    owner = F.when(o["target_query_id"] == F.col("query_id"), "A").when(o["target_query_id"] == F.col("near_miss_id"), "B")
+    plain, is_object = parse_labelled("item"), strip("item").startswith("{")
+    rows = items.select("*", F.when(is_object, F.coalesce(F.upper(first("target", "label")), owner)).otherwise(plain["target"]).alias("target"), F.when(is_object, first("text", "query", "trick_query")).otherwise(plain["text"]).alias("text"))
+    rows = rows.where("target IN ('A', 'B') AND text IS NOT NULL").withColumn("target_query_id", F.when(F.col("target") == "A", F.col("query_id")).otherwise(F.col("near_miss_id")))
+    chosen = rows.groupBy("target_query_id", "text").agg(F.min(F.struct("query_id", "near_miss_id", "place", "target")).alias("x"))
+    return chosen.select("x.query_id", "x.near_miss_id", "x.target", "target_query_id", "text")
+
+
+def trick_examples(tricks: DataFrame, examples: DataFrame) -> DataFrame:
+    """Rows of ``parse_tricks`` with each row of ``retriever_examples`` of their target query."""
+    return tricks.join(examples.withColumnRenamed("query_id", "target_query_id"), "target_query_id")
+
+
 def difficulty(label_type: Column) -> Column:
     """pos, easy, or hard for everything else."""
     return F.when(label_type == "pos", "pos").when(label_type == "easy", "easy").otherwise("hard")

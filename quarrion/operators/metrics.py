@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrion.functions.ids import passage_of
 from quarrion.functions.text import normalise_answer
@@ -287,3 +291,33 @@ def wilcoxon(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
     n = F.col("pairs").cast("double")
     z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     return sums.withColumn("w", F.least("w_plus", "w_minus")).withColumn("z", F.round(z, 6))
+
+
+def signed_rank_p(pairs: int, w: float, ties: float, exact: bool) -> float:
+    """Two-sided p of a signed-rank sum: from all sign patterns if ``exact``, else the normal one with tie correction."""
+    if not pairs:
+        return 1.0
+    if exact:
+        ways = [1]
+        for rank in range(1, pairs + 1):
+            ways = [(ways[i] if i < len(ways) else 0) + (ways[i - rank] if i >= rank else 0) for i in range(len(ways) + rank)]
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**pairs)
+    variance = pairs * (pairs + 1) * (2 * pairs + 1) / 24 - ties / 48
+    return math.erfc(abs(w - pairs * (pairs + 1) / 4) / math.sqrt(2 * variance)) if variance > 0 else 1.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _signed_rank_p(pairs: pd.Series, w: pd.Series, ties: pd.Series, exact: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_p(int(a), b, c, bool(d)) for a, b, c, d in zip(pairs, w, ties, exact, strict=True)], dtype="float64")
+
+
+def compare_runs(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
+    """``wilcoxon`` with the means of both runs and p; exact for up to 50 pairs without ties and zeros."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    means = known.groupBy(*group).agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.count(F.lit(1)).alias("n"))
+    sizes = known.select(*group, F.abs(F.round(F.col(a) - F.col(b), 9)).alias("d")).where("d > 0").groupBy(*group, "d").agg(F.count(F.lit(1)).cast("double").alias("t"))
+    ties = sizes.groupBy(*group).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    on = list(group) or F.lit(True)
+    out = means.join(wilcoxon(df, a, b, *group), on, "left").join(ties, on, "left").fillna(0, ["pairs", "w", "w_plus", "w_minus", "ties"])
+    exact = (F.col("ties") == 0) & (F.col("n") == F.col("pairs")) & (F.col("n") <= 50)
+    return out.withColumn("p", _signed_rank_p(F.col("pairs"), F.col("w"), F.col("ties"), exact)).drop("n", "ties")

@@ -5,6 +5,7 @@ Each is a function on Arrow batches of columns, made once per worker; a real mod
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.functions.text import accept_answer, canonical_keyword, first_fragment, normalise_keyword, strip
+from quarrion.functions.text import accept_answer, canonical_keyword, first_fragment, normalise_keyword, strip, strip_think
 from quarrion.operators.ordinals import with_row_numbers
+from quarrion.operators.retrieval import row_ranks
 from quarrion.operators.selection import pack_passages
 
 TextModel = Callable[[], Callable[[pd.Series], list]]
@@ -113,11 +115,55 @@ def answer_extractively(questions: DataFrame, ranked: DataFrame, budget: int, ca
     return out.select("question_id", F.coalesce(said, F.lit("unknown")).alias("answer"), F.coalesce("passages", F.lit(0)).alias("passages"))
 
 
+def first_candidates(keep: int = 3) -> TextModel:
+    """Default candidate filter: the first ids of the prompt's list."""
+
+    def make() -> Callable[[pd.Series], list]:
+        def pick(prompts: pd.Series) -> list:
+            return [json.dumps({"near_miss_ids": re.findall(r"(?m)^\d+\. (.*?) \| ", x or "")[:keep]}) for x in prompts]
+
+        return pick
+
+    return make
+
+
+def picked_ids(answer: Column) -> Column:
+    """Trimmed ids of a model's ``{"near_miss_ids": [...]}``; none if it is no such JSON."""
+    ids = F.from_json(strip_think(answer), "near_miss_ids array<string>")["near_miss_ids"]
+    return F.filter(F.transform(F.coalesce(ids, F.array()), strip), lambda x: x.isNotNull() & (x != ""))
+
+
+def filter_pairs(pairs: DataFrame, labels: DataFrame, model: TextModel | None = None, most: int = 6, keep: int = 3) -> DataFrame:
+    """``pairs`` (a, b, score) that a model picks for either end out of its ``most`` best partners.
+
+    ``labels`` has (id, label, category). Ids that the model makes up are dropped.
+    """
+    make = model or first_candidates(keep)
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = make()
+        for prompts in batches:
+            yield pd.Series(run(prompts), dtype="object")
+
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))
+    best = row_ranks(both, "id", "score", "other", most)
+    named = best.join(labels.select(F.col("id").alias("other"), "label", "category"), "other")
+    line = F.format_string("%s | %s (category: %s)", "other", "label", "category")
+    lists = named.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
+    lines = F.array_join(F.transform("x", lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["line"])), "\n")
+    asked = lists.join(labels.select("id", "label"), "id").select("id", prompt("near_miss", F.col("label"), lines, F.lit(keep)).alias("asked"))
+    picked = asked.select("id", F.explode(picked_ids(ask("asked"))).alias("other"))
+    kept = picked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return pairs.join(kept, ["a", "b"], "left_semi")
+
+
 # Prompt templates (fixed values of the data model's prompts are the caller's; these are ours).
 PROMPTS = {
     "reader": "Context:\n%s\n\nQuestion: %s\nAnswer:",
     "pair": "Query: %s\nClause: %s\nRelevant:",
     "sentence": "Question: %s\nSentence: %s\nUsefulness from %d to %d:",
+    "near_miss": "Query: %s\n\nCandidates:\n%s\n\nUp to %d that are easy to confuse with the query but distinct, as JSON {\"near_miss_ids\": [...]}:",
     "edge": "Query: %s\nEdges:\n%s\nBest edge or null:",
 }
 

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrion.operators import examples as E
+from quarrion.operators import metrics as M
+from quarrion.operators import models as O
 from quarrion.operators import nearmiss as N
 from quarrion.plans import base, registry
 
@@ -83,3 +85,31 @@ def test_sibling_query_is_that_of_brute_force(spark, data, monkeypatch):
     want = own | {(q, doc): "sibling" for q in {q for q, _ in own} if q in category for doc in pool.get(category[q], ()) if (q, doc) not in own}
     got = [(r["query_id"], doc, r["label_type"]) for r in registry.QUERIES["retriever_examples_all"](spark, data).collect() for doc in r["docs"]]
     assert len(got) == len(want) and {(q, doc): kind for q, doc, kind in got} == want and "sibling" in want.values()
+
+
+def test_trick_queries_become_examples(spark):
+    pairs = [("q", "r", ["A: only x", "(b) - only y", "no label", '{"query": "z", "target_query_id": "r"}']), ("q", "s", ["A: only x"]), ("", "r", ["A: w"])]
+    tricks = E.parse_tricks(spark.createDataFrame(pairs, "query_id string, near_miss_id string, trick_queries array<string>"))
+    assert sorted((r["near_miss_id"], r["target"], r["target_query_id"], r["text"]) for r in tricks.collect()) == [("r", "A", "q", "only x"), ("r", "B", "r", "only y"), ("r", "B", "r", "z")]
+    examples = spark.createDataFrame([("q", "d1", "pos", 1), ("q", "d2", "easy", 0), ("s", "d3", "pos", 1)], "query_id string, doc_id string, label_type string, label int")
+    assert sorted((r["text"], r["doc_id"], r["label"]) for r in E.trick_examples(tricks, examples).collect()) == [("only x", "d1", 1), ("only x", "d2", 0)]
+
+
+def test_model_filters_pairs(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.8), ("b", "c", 0.7)], "a string, b string, score double")
+    labels = spark.createDataFrame([(x, x * 2, "k") for x in "abc"], "id string, label string, category string")
+    picked = lambda answer: sorted((r["a"], r["b"]) for r in O.filter_pairs(pairs, labels, lambda: lambda prompts: [answer] * len(prompts)).collect())
+    assert picked('<think>x</think>{"near_miss_ids": [" c ", "", "zz"]}') == [("a", "c"), ("b", "c")]
+    assert picked("none") == [] and picked('{"near_miss_ids": "c"}') == []
+    assert sorted((r["a"], r["b"]) for r in O.filter_pairs(pairs, labels, keep=1).collect()) == [("a", "b"), ("a", "c")]
+
+
+def test_compared_runs_have_means_and_p(spark):
+    rows = spark.createDataFrame([(float(i), 0.0) for i in (1, 2, 3, 4, -5)], "a double, b double")
+    got = M.compare_runs(rows, "a", "b").collect()[0]
+    # 10 of the 32 subsets of 1..5 have a sum of 5 or less
+    assert (got["mean_a"], got["mean_b"], got["w"], got["p"]) == (1.0, 0.0, 5.0, 0.625)
+    tied = spark.createDataFrame([(1.0, 0.0), (1.0, 0.0), (0.0, 1.0), (3.0, 0.0), (2.0, 2.0)], "a double, b double")
+    # n = 4, w = 2, variance 4 * 5 * 9 / 24 - (27 - 3) / 48 = 7, z = 3 / sqrt(7)
+    assert M.compare_runs(tied, "a", "b").collect()[0]["p"] == pytest.approx(0.256839, abs=1e-6)
+    assert M.compare_runs(tied.where("a = b"), "a", "b").collect()[0]["p"] == 1.0
