@@ -120,6 +120,12 @@ def text_guards(spark: SparkSession, d: str) -> Frame:
     return rows.select("doc_id", "f.too_long", "f.long_token", "f.too_many_marks")
 
 
+def text_guards_all(spark: SparkSession, d: str) -> Frame:
+    """All four tests by which documents are kept whole, with that of equal marks, which DuckDB's expressions cannot say."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", M.fitness(F.col("text")).alias("f"))
+    return rows.select("doc_id", "f.*")
+
+
 def marker_counts(spark: SparkSession, d: str) -> Frame:
     """Temporal, inline and parenthetical markers of passages."""
     text = F.col("text")
@@ -160,7 +166,7 @@ QUERIES = {
     for f in (
         clean_text, clean_text_nfkc, safe_title_ids, keyword_normalise, canonical_keywords, answer_normalise, token_estimate,
         truncate_budget, answer_parts, answer_tokens, think_strip, score_parse, variant_parse, trick_label_parse,
-        paragraph_units, line_units, token_window_table, text_guards, marker_counts, split_names, reader_prompts,
+        paragraph_units, line_units, token_window_table, text_guards, text_guards_all, marker_counts, split_names, reader_prompts,
         passage_id_normalise, number_parse,
     )
 }

@@ -113,3 +113,12 @@ def test_compared_runs_have_means_and_p(spark):
     # n = 4, w = 2, variance 4 * 5 * 9 / 24 - (27 - 3) / 48 = 7, z = 3 / sqrt(7)
     assert M.compare_runs(tied, "a", "b").collect()[0]["p"] == pytest.approx(0.256839, abs=1e-6)
     assert M.compare_runs(tied.where("a = b"), "a", "b").collect()[0]["p"] == 1.0
+
+
+def test_guards_have_equal_marks(spark, tmp_path):
+    texts = ["a " + "-" * 15 + " b", "a " + "-" * 16 + " b", "x" * 150, "a" * 16, "_" * 16, "a. " * 2000, ("a! " * 40), "-=" * 16]
+    spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["too_long"], r["long_token"], r["same_marks"], r["too_many_marks"]) for r in registry.QUERIES["text_guards_all"](spark, str(tmp_path)).collect()}
+    marks = lambda t: sum(33 <= ord(c) <= 126 and not c.isalnum() for c in t)
+    brute = lambda t: (len(t) > 5000, any(len(w) >= 150 for w in t.split()), bool(re.search(r"([^\w\s])\1{15,}", t)), len(t) > 100 and marks(t) > 0.2 * len(t))
+    assert got == {f"d{i}": brute(t) for i, t in enumerate(texts)} and got["d1"] == (False, False, True, False)
