@@ -1,4 +1,4 @@
-"""Filling fixed-capacity containers: shortest-pack-first over the length histogram.
+"""Filling fixed-capacity containers: best fit over the length histogram, in place of shortest-pack-first.
 
 Only the histogram of item lengths comes to the driver; it has at most ``capacity`` entries, however many items
 there are. Lengths are placed longest first, each into the open packs whose filling leaves the least room, and
