@@ -219,10 +219,10 @@ _UNITS = """SELECT {id}, CAST(i - 1 AS INT) AS unit_index, u[i] AS unit FROM (SE
 
 
 def _count(phrases: list[str]) -> str:
-    return f"coalesce(len(regexp_extract_all(text, '(?i)\\b(?:{M.alternation(phrases)})\\b')), 0)"
+    return f"coalesce(len(regexp_extract_all(text, '(?i)\\b(?:{M.any_phrase(phrases)})\\b')), 0)"
 
 
-_BODY = rf"\b(?:{M.alternation(M.PARENTHETICAL)})\b"
+_BODY = rf"\b(?:{M.any_phrase(M.PARENTHETICAL)})\b"
 
 ORACLE_SQL = {
     "clean_text": f"SELECT doc_id, {_clean('text')} AS clean FROM documents",
