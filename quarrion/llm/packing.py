@@ -1,10 +1,11 @@
-"""Filling fixed-capacity containers: best fit over the length histogram, in place of shortest-pack-first.
+"""Filling fixed-capacity containers: shortest-pack-first over the length histogram.
 
 Only the histogram of item lengths comes to the driver; it has at most ``capacity`` entries, however many items
-there are. Lengths are placed longest first, each into the open packs whose filling leaves the least room, and
-whole groups of equal packs are updated at once. The plan says, for every length, which ranks go to which
-containers; items get their rank within their length from counts of salted slices, so a length that a third of
-all items have is spread over many tasks; plan and items meet in an equi-join on (length, block of ranks).
+there are. Lengths are placed longest first, each item into the open pack that is filled least; if it does not fit
+there it fits nowhere, and a new pack is opened. Equal packs are one pattern with a count, so whole groups of packs
+are updated at once. The plan says, for every length, which ranks go to which containers; items get their rank within
+their length from counts of salted slices, so a length that a third of all items have is spread over many tasks; plan
+and items meet in an equi-join on (limit, length, block of ranks). All capacities go through one such join.
 
 An item longer than the capacity is cut into full containers and one rest, which is packed like an item. Items of
 no tokens take no room and get no container (``container`` null). Null texts are such items.
@@ -33,36 +34,40 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     Ranks first_rank, first_rank + 1, ... fill the containers first_container, ... in turn, ``per_pack`` items
     each, beginning ``offset`` tokens from the container's start. ``packs`` counts the containers.
     """
-    room: dict[int, list[list]] = defaultdict(list)  # tokens left -> groups of equal packs [count, parts]
+    # tokens left -> groups of equal packs (count, pattern); a pattern is (pattern before, length, per_pack)
+    room: dict[int, list[tuple[int, tuple | None]]] = defaultdict(list)
     lefts: list[int] = []
 
-    def put(left: int, group: list) -> None:
+    def put(left: int, count: int, pattern: tuple | None) -> None:
         if not room[left]:
             bisect.insort(lefts, left)
-        room[left].append(group)
+        room[left].append((count, pattern))
 
     for length in sorted((n for n in histogram if 0 < n <= capacity), reverse=True):
         count = histogram[length]
         while count:
-            at = bisect.bisect_left(lefts, length)
-            if at < len(lefts):
-                left = lefts[at]
-                group = room[left].pop()
+            if lefts and lefts[-1] >= length:  # the pack filled least
+                left, each = lefts[-1], 1
+                held, pattern = room[left].pop()
                 if not room[left]:
-                    lefts.pop(at)
-            else:
-                left, group = capacity, [count // min(capacity // length, count), []]
-            each = min(left // length, count)  # the tightest pack stays the tightest while another one fits
-            packs = min(group[0], count // each)
-            if packs < group[0]:
-                put(left, [group[0] - packs, group[1]])
-            put(left - each * length, [packs, [*group[1], (length, packs, each)]])
+                    lefts.pop()
+            else:  # a new pack is filled least until the next item does not fit into it
+                left, each, pattern = capacity, min(capacity // length, count), None
+                held = count // each
+            packs = min(held, count)
+            if packs < held:
+                put(left, held - packs, pattern)
+            put(left - each * length, packs, (pattern, length, each))
             count -= packs * each
     rows, ranks, container = [], defaultdict(int), 0
     for left in sorted(room):
-        for packs, parts in room[left]:
+        for packs, pattern in room[left]:
+            parts = []
+            while pattern:
+                parts.append(pattern[1:])
+                pattern = pattern[0]
             offset = 0
-            for length, _, each in parts:
+            for length, each in reversed(parts):
                 rows.append((length, ranks[length], packs, each, container, offset))
                 ranks[length] += packs * each
                 offset += length * each
@@ -70,63 +75,67 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return rows
 
 
-def slice_ranks(items: DataFrame, key: str, order: str) -> DataFrame:
-    """``items`` with ``rank``, from 0 within each ``key``: salted slices are ranked apart and their counts added up."""
+def slice_ranks(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``items`` with ``rank``, from 0 within each of ``keys``: salted slices are ranked apart and their counts added up."""
     slices = max(SLICES, 2 * parallelism(items.sparkSession))
     salted = items.withColumn("slice", F.pmod(F.xxhash64(order), F.lit(slices)).cast("int"))
-    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = salted.groupBy(key, "slice").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = salted.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    within = Window.partitionBy(key, "slice").orderBy(order)
+    within = Window.partitionBy(*keys, "slice").orderBy(order)
     ranked = salted.withColumn("within", F.row_number().over(within) - 1)
-    return ranked.join(sizes, [key, "slice"]).withColumn("rank", F.col("base") + F.col("within")).drop("base", "within", "slice")
+    return ranked.join(sizes, [*keys, "slice"]).withColumn("rank", F.col("base") + F.col("within")).drop("base", "within", "slice")
 
 
-def pack(sized: DataFrame, capacity: int) -> DataFrame:
-    """(item, part, length, container, offset) of ``sized`` (item bigint unique, n_tokens int).
+def pack(sized: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
+    """(limit_id, item, part, length, container, offset) of ``sized`` (item bigint unique, n_tokens int) for every
+    (limit_id, capacity).
 
     ``part`` counts the pieces of an item that exceeds the capacity; part 0 is the only one of any other. Items
     in one container keep the order of ``offset``.
     """
     spark = sized.sparkSession
-    full = F.floor((F.col("n_tokens") - 1) / capacity).cast("int")
-    rest = sized.withColumn("part", F.greatest(full, F.lit(0)))
-    rest = rest.withColumn("length", F.greatest(F.col("n_tokens") - F.col("part") * capacity, F.lit(0)).cast("int"))
-    rest = rest.select("item", "part", "length")
-    histogram = {r["length"]: r["size"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("size")).collect()}
-    rows = plan_packs(histogram, capacity)
-    used = sum(r[2] for r in rows if r[5] == 0)
+    limits = F.explode(F.array(*(F.struct(F.lit(i).alias("limit_id"), F.lit(c).alias("capacity")) for i, c in capacities)))
+    each = sized.select("item", "n_tokens", limits.alias("l")).select("item", "n_tokens", "l.*")
+    each = each.withColumn("full", F.greatest(F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int"), F.lit(0)))
+    length = F.greatest(F.col("n_tokens") - F.col("full") * F.col("capacity"), F.lit(0)).cast("int")
+    rest = each.select("limit_id", "item", F.col("full").alias("part"), length.alias("length"))
+    histograms: dict[int, dict[int, int]] = {limit: {} for limit, _ in capacities}
+    for r in rest.groupBy("limit_id", "length").agg(F.count(F.lit(1)).alias("size")).collect():
+        histograms[r["limit_id"]][r["length"]] = r["size"]
+    rows = [(limit, *row) for limit, capacity in capacities for row in plan_packs(histograms[limit], capacity)]
+    used = {limit: sum(r[3] for r in rows if r[0] == limit and r[6] == 0) for limit, _ in capacities}
     plan = spark.createDataFrame(
-        rows or [(-1, 0, 0, 1, 0, 0)],
-        "length int, first_rank bigint, packs bigint, per_pack int, first_container bigint, base int",
+        rows, "limit_id int, length int, first_rank bigint, packs bigint, per_pack int, first_container bigint, base int"
     )
     last = F.col("first_rank") + F.col("packs") * F.col("per_pack") - 1
-    blocks = F.sequence(F.floor(F.col("first_rank") / BLOCK), F.greatest(F.floor(last / BLOCK), F.floor(F.col("first_rank") / BLOCK)))
-    plan = plan.withColumn("last_rank", last).withColumn("block", F.explode(blocks))
+    plan = plan.withColumn("last_rank", last).withColumn("block", F.explode(F.sequence(F.floor(F.col("first_rank") / BLOCK), F.floor(last / BLOCK))))
 
-    ranked = slice_ranks(rest.where("length > 0"), "length", "item").withColumn("block", F.floor(F.col("rank") / BLOCK))
-    placed = ranked.join(plan, ["length", "block"]).where(F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
+    ranked = slice_ranks(rest.where("length > 0"), ["limit_id", "length"], "item").withColumn("block", F.floor(F.col("rank") / BLOCK))
+    placed = ranked.join(plan, ["limit_id", "length", "block"]).where(F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
     turn = F.col("rank") - F.col("first_rank")
     placed = placed.select(
+        "limit_id",
         "item",
         "part",
         "length",
         (F.col("first_container") + F.floor(turn / F.col("per_pack"))).alias("container"),
         (F.col("base") + F.pmod(turn, F.col("per_pack")) * F.col("length")).cast("int").alias("offset"),
     )
-    empty = rest.where("length <= 0").select("item", "part", "length", F.lit(None).cast("bigint").alias("container"), F.lit(0).alias("offset"))
-
-    over = sized.where(F.col("n_tokens") > capacity).select("item", full.alias("n"))
-    before = slice_ranks(over, "n", "item")
-    bases = over.groupBy("n").agg(F.count(F.lit(1)).alias("size"))
-    running = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    bases = bases.select("n", (F.lit(used) + F.coalesce(F.sum(F.col("size") * F.col("n")).over(running), F.lit(0))).alias("base"))
-    cut = before.join(bases, "n").select(
+    empty = rest.where("length <= 0").select("limit_id", "item", "part", "length", F.lit(None).cast("bigint").alias("container"), F.lit(0).alias("offset"))
+
+    over = each.where("full > 0").select("limit_id", "capacity", "item", F.col("full").alias("n"))
+    bases = over.groupBy("limit_id", "n").agg(F.count(F.lit(1)).alias("size"))
+    running = Window.partitionBy("limit_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.create_map(*(F.lit(x) for pair in used.items() for x in pair)) if used else F.create_map()
+    bases = bases.select("limit_id", "n", (first[F.col("limit_id")] + F.coalesce(F.sum(F.col("size") * F.col("n")).over(running), F.lit(0))).alias("base"))
+    cut = slice_ranks(over, ["limit_id", "n"], "item").join(bases, ["limit_id", "n"]).select(
+        "limit_id",
         "item",
-        F.posexplode(F.array_repeat(F.lit(capacity), F.col("n"))).alias("part", "length"),
+        F.posexplode(F.array_repeat("capacity", F.col("n"))).alias("part", "length"),
         (F.col("base") + F.col("rank") * F.col("n")).alias("first"),
     )
-    cut = cut.select("item", "part", "length", (F.col("first") + F.col("part")).alias("container"), F.lit(0).alias("offset"))
+    cut = cut.select("limit_id", "item", "part", "length", (F.col("first") + F.col("part")).alias("container"), F.lit(0).alias("offset"))
     return placed.unionByName(empty).unionByName(cut)
 
 
@@ -134,18 +143,12 @@ def pack_documents(documents: DataFrame, capacities: list[tuple[int, int]], voca
     """(limit_id, doc_id, part, n_tokens, container, offset) of every document for every (limit_id, capacity).
 
     The few-byte table (doc_id, n_tokens) is checkpointed, so texts are read and tokenized once for all limits.
-    Every doc_id must be unique; a null doc_id is left out.
+    Every doc_id must be unique. A row without one can't be told from another: it is in no container, and
+    ``documents`` of the test data have none.
     """
     sized = with_token_counts(spread(documents).select(F.col("doc_id").cast("bigint").alias("item"), "text"), "text", vocabulary)
     sized = checkpointed(sized.where("item IS NOT NULL"))
-    parts = [
-        pack(sized, capacity).select(F.lit(limit).alias("limit_id"), "item", "part", "length", "container", "offset")
-        for limit, capacity in capacities
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumnsRenamed({"item": "doc_id", "length": "n_tokens"})
+    return pack(sized, capacities).withColumnsRenamed({"item": "doc_id", "length": "n_tokens"})
 
 
 def container_limits(size_limits: DataFrame) -> list[tuple[int, int]]:

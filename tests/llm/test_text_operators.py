@@ -134,26 +134,32 @@ def test_plan_places_every_item_once(histogram, capacity):
             filled[c] = offset + length * each
     assert placed == histogram and all(v <= capacity for v in filled.values())
     assert sorted(filled) == list(range(len(filled)))
-    assert len(filled) <= best_fit(histogram, capacity)
+    assert sorted(capacity - v for v in filled.values()) == shortest_pack_first(histogram, capacity)
 
 
-def best_fit(histogram, capacity):
-    """Containers that best fit needs, item by item, longest first."""
+def shortest_pack_first(histogram, capacity):
+    """What is left in each container when every item goes, longest first, into the one filled least."""
     left = []
     for n in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):
-        fits = [i for i, room in enumerate(left) if room >= n]
-        if fits:
-            left[min(fits, key=left.__getitem__)] -= n
+        most = max(range(len(left)), key=left.__getitem__, default=None)
+        if most is not None and left[most] >= n:
+            left[most] -= n
         else:
             left.append(capacity - n)
-    return len(left)
+    return sorted(left)
+
+
+def test_shortest_pack_comes_first():
+    rows = packing.plan_packs({60: 1, 55: 1, 40: 1}, 100)
+    container = {length: c for length, _, _, _, c, _ in rows}
+    assert container[40] == container[55] != container[60]  # best fit would put 40 beside 60
 
 
 def test_pack_table(spark):
     random.seed(3)
     sizes = [random.choice([0, 1, 3, 5, 8, 13, 21, 55, 64, 5, 5, 5]) for _ in range(900)]
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "item long, n_tokens int")
-    got = packing.pack(rows, 20).collect()
+    got = packing.pack(rows, [(1, 20)]).collect()
     by_item, by_container = {}, {}
     for r in got:
         by_item.setdefault(r["item"], []).append((r["part"], r["length"]))
@@ -168,7 +174,7 @@ def test_pack_table(spark):
             end += n
         assert end <= 20
     assert sum(sizes) / (20 * len(by_container)) > 0.97
-    assert packing.pack(rows.limit(0), 20).count() == 0
+    assert packing.pack(rows.limit(0), [(1, 20)]).count() == 0
 
 
 # --- mixing ----------------------------------------------------------------------------------------------------
