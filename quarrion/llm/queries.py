@@ -77,7 +77,37 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))  # the compatibility forms that occur in questions
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_SPLITS = r"""
+    rows AS (
+        SELECT question_id AS id, lower(trim(regexp_replace(split, '^\s+|\s+$', '', 'g'))) AS split, lower(trim(dataset)) AS dataset,
+               question, gold_passages, ingested_at FROM questions),
+    latest AS (
+        SELECT id, arg_max(r, r.ingested_at) AS r FROM (SELECT id, rows AS r FROM rows
+        WHERE id IS NOT NULL AND question IS NOT NULL AND split IN ('train', 'dev', 'test', 'validation')) GROUP BY id),
+    q AS (
+        SELECT id, r.split AS split, r.dataset AS dataset, r.split = 'train' AS train,
+               regexp_extract_all(lower(translate(r.question, '""" + _WIDE + "', '" + _NARROW + r"""')), '[\p{L}\p{N}]+') AS tokens,
+               list_distinct(list_filter(list_transform(list_filter(coalesce(r.gold_passages, []), lambda x: contains(x, '__')),
+                   lambda x: regexp_replace(regexp_replace(x, '^.*?__', '', 's'), '(_sent[0-9]+|_full)$', '')), lambda x: x NOT IN ('', 'no_title'))) AS titles
+        FROM latest),
+    pairs AS (
+        SELECT a.id AS a_id, b.id AS b_id, b.split, b.dataset, a.tokens = b.tokens AS exact
+        FROM q a JOIN q b ON a.train AND NOT b.train AND len(a.tokens) > 0 AND len(b.tokens) > 0
+        WHERE a.tokens = b.tokens OR (list_has_any(a.titles, b.titles) AND len(list_intersect(a.tokens, b.tokens)) >=
+            0.6 * len(list_distinct(a.tokens || b.tokens)) - 1e-9))
+"""
+
 ORACLE_SQL = {
+    "p3_found": f"WITH {_SPLITS} SELECT least(a_id, b_id) AS question_id_a, greatest(a_id, b_id) AS question_id_b FROM pairs",
+    "p3_report": f"""
+        WITH {_SPLITS}, counted AS (
+            SELECT b_id, count(*) FILTER (exact) AS e, count(*) FILTER (NOT exact) AS n FROM pairs GROUP BY 1)
+        SELECT split, dataset, count(*) AS questions, count(*) FILTER (e > 0) AS exact_questions, count(*) FILTER (n > 0) AS near_questions,
+               count(*) FILTER (e > 0 OR n > 0) AS recurring_questions, coalesce(sum(e), 0)::BIGINT AS exact_pairs, coalesce(sum(n), 0)::BIGINT AS near_pairs
+        FROM q LEFT JOIN counted ON b_id = id WHERE NOT train AND len(tokens) > 0 GROUP BY 1, 2
+    """,
     "p4_found": """
         SELECT query_id, chunk_id FROM (
             SELECT query_id, chunk_id,

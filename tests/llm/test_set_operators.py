@@ -106,6 +106,32 @@ def test_overlap_rules(spark):
     assert overlap.found(q.limit(0)).count() == 0
 
 
+def test_overlap_of_copies_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghij", k=rng.choice([3, 5, 8]))) for _ in range(25)] + ["who built the mill"] * 12
+    rows = []
+    for i in range(260):
+        titles = [f"q__{rng.choice(['mill', 'mill', 'quay', 'no_title'])}_sent{rng.randint(0, 2)}" for _ in range(rng.choice([0, 1, 1, 2]))]
+        rows.append((f"q{i}", rng.choice("xy"), rng.choice(["train", "train", "dev", "test"]), rng.choice(texts), titles))
+    want, near, exact = set(), {}, {}
+    named = lambda r: {t.split("__")[1].rsplit("_sent", 1)[0] for t in r[4]} - {"no_title"}
+    for a in (r for r in rows if r[2] == "train"):
+        for b in (r for r in rows if r[2] != "train"):
+            x, y = set(a[3].split()), set(b[3].split())
+            same = a[3] == b[3]
+            if same or named(a) & named(b) and len(x & y) >= 0.6 * len(x | y) - 1e-9:
+                want.add(tuple(sorted((a[0], b[0]))))
+                counts = exact if same else near
+                counts[b[2], b[1]] = counts.get((b[2], b[1]), 0) + 1
+    q = spark.createDataFrame([(*r, None) for r in rows], COLUMNS)
+    got = [tuple(r) for r in overlap.found(q).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    for r in overlap.report(q).collect():
+        assert (r["exact_pairs"], r["near_pairs"]) == (exact.get((r["split"], r["dataset"]), 0), near.get((r["split"], r["dataset"]), 0))
+    few = {tuple(r) for r in overlap.near_classes(overlap.prepare(q), most_common=3).select("train_class", "eval_class", "copies").collect()}
+    assert few == {tuple(r) for r in overlap.near_classes(overlap.prepare(q)).select("train_class", "eval_class", "copies").collect()}
+
+
 # --- top N -----------------------------------------------------------------------------------------------------
 
 
