@@ -11,11 +11,15 @@ r = floor(m (1/J - 1)) tokens, so the tables can be built for that radius and mi
   an odd parity with v. Of the 2^(RADIUS+1)-1 masks at least one keeps none of RADIUS differing tokens, so
   both sets have the same key there.
 
-Equal token sets are one representative before, with its members beside; buckets hold representatives only. Tokens
-that most sets have carry no information and are left out of the keys, which can only shrink differences. A key
-that keeps few tokens may fill a bucket beyond ``BUCKET``; such a bucket is not cut but divided by the prefix
-tokens of its members (pairs of the wanted similarity share one of their rarest tokens), which is exact too.
-Candidates are verified on the whole sets.
+Equal token sets are one representative before, with its members beside; buckets hold representatives only.
+
+A key that keeps few or only frequent tokens says little: a bucket of it would hold sets by chance, and the more the
+more sets there are. The information of a key is the sum of -log2(share of the sets with the token) over the tokens
+it keeps; both sets of a pair that agree on it see the same sum. Below log2(number of sets), where a bucket would hold
+more than one set by chance, the key is not used. Pairs that agree on such poor keys only, or in a bucket of more than
+``BUCKET`` sets, are found by another table: sets of the wanted similarity share one of their first tokens in any
+common order, rarest first; its rows carry size, place and a 128-bit sketch, which rule out nearly all of its chance
+pairs within the join. Candidates of both are verified on the whole sets.
 
 Null texts and sets of fewer than ``least`` tokens are in no pair. Nothing is capped.
 """
@@ -23,10 +27,13 @@ Null texts and sets of fewer than ``least`` tokens are in no pair. Nothing is ca
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +42,38 @@ from quarrion.session import checkpointed, parallelism
 
 JACCARD, LEAST = 0.7, 12
 #: Radius that the masks of one part cover; 2 ** (RADIUS + 1) - 1 tables a part.
-RADIUS = 4
-#: Share of the sets from which a token is left out of the keys.
-COMMON = 0.4
-#: Sets in a bucket from which it is divided by prefix tokens.
+RADIUS = 3
+#: Sets in a bucket from which its pairs are left to the table of first tokens.
 BUCKET = 64
-#: Most tokens that may be left out as common; so many hashes go to every task.
-MOST_COMMON = 4096
+#: Tokens whose frequency is known to the tasks, at most; rarer ones count as frequent as the rarest of these.
+MOST_COMMON = 65_536
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def token_array(column: str) -> Column:
-    """Distinct runs ``[a-z0-9]+`` of the lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), F.lit(0)))
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def token_sets(texts: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, tokens, digest, s0, s1): hashes of the different runs ``[a-z0-9]+`` of each lower-cased text, ascending, a
+    128-bit digest and a sketch of them, two 64-bit maps. Null ids, null texts and smaller sets are left out."""
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+    def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, tokens, digests, sketches = [], [], [], []
+            for key, text in zip(batch["id"], batch["text"], strict=True):
+                words = set(_TOKEN.findall(text.lower()))
+                if len(words) < least:
+                    continue
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
+                hashes.sort()
+                ids.append(key), tokens.append(hashes), digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                bit, upper = np.uint64(1) << (hashes & 63).astype(np.uint64), (hashes & 64).astype(bool)
+                sketches.append([np.bitwise_or.reduce(bit[half]).view(np.int64) for half in (~upper, upper)])
+            s0, s1 = zip(*sketches, strict=True) if sketches else ((), ())
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=batch["id"].dtype), "tokens": tokens, "digest": digests, "s0": s0, "s1": s1})
+
+    return rows.mapInPandas(tokenize, f"id {rows.schema['id'].dataType.simpleString()}, tokens array<bigint>, digest binary, s0 bigint, s1 bigint")
 
 
 def band(size: np.ndarray, jaccard: float, least: int) -> np.ndarray:
@@ -79,9 +105,9 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def covering_keys(
-    row: np.ndarray, token: np.ndarray, sizes: np.ndarray, jaccard: float, least: int, width: int = RADIUS
+    row: np.ndarray, token: np.ndarray, bits: np.ndarray, sizes: np.ndarray, jaccard: float, least: int, width: int = RADIUS
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set number, key, tokens kept) of all tables, for sets given as (row, token) pairs and their whole sizes."""
+    """(set number, key, bits kept) of all tables, for sets given as (row, token, bits) and their sizes."""
     masks = np.arange(1, 1 << (width + 1))
     parity = np.array([[bin(v & c).count("1") & 1 for v in masks] for c in range(1 << (width + 1))], dtype=bool)
     bands = band(sizes, jaccard, least)
@@ -93,7 +119,7 @@ def covering_keys(
             continue
         members = np.flatnonzero((bands == g) | (bands == g + 1))
         inside = (own == g) | (own == g + 1)
-        r, t = row[inside], token[inside]
+        r, t, b = row[inside], token[inside], bits[inside]
         top = int(edges[g + 1]) - 1 if g + 1 < len(edges) else math.floor(edges[g] / jaccard + 1e-9)
         parts = -(-(radius(top, jaccard) + 1) // (width + 1))
         mixed = _mix(t, 11 + int(g))
@@ -102,7 +128,7 @@ def covering_keys(
         weight = _mix(t, 97)
         cell = np.searchsorted(members, r) * parts + part
         grid = np.zeros((len(members) * parts, len(masks)), dtype=np.uint64)
-        number = np.zeros((len(members) * parts, len(masks)), dtype=np.int32)
+        worth = np.zeros((len(members) * parts, len(masks)), dtype=np.float32)
         if len(r):
             order = np.argsort(cell, kind="stable")
             cells, first = np.unique(cell[order], return_index=True)
@@ -110,93 +136,145 @@ def covering_keys(
             values = np.where(kept, weight[order][:, None], np.uint64(0))
             with np.errstate(over="ignore"):
                 grid[cells] = np.add.reduceat(values, first, axis=0)
-            number[cells] = np.add.reduceat(kept.astype(np.int32), first, axis=0)
+            worth[cells] = np.add.reduceat(np.where(kept, b[order][:, None], np.float32(0)), first, axis=0)
         table = (np.arange(len(members) * parts) % parts)[:, None] * len(masks) + np.arange(len(masks))[None, :]
         with np.errstate(over="ignore"):
             keys = _mix(grid + table.astype(np.uint64) * _GOLDEN + np.uint64(g) * np.uint64(0xD6E8FEB86659FD93), 5)
-        out.append((np.repeat(members, parts * len(masks)), keys.ravel(), number.ravel()))
+        out.append((np.repeat(members, parts * len(masks)), keys.ravel(), worth.ravel()))
     if not out:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty.astype(np.uint64), empty
+        return empty, empty.astype(np.uint64), empty.astype(np.float32)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def representatives(texts: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Sets (rep, tokens, size), one of each token set, and members (id, rep). Both are checkpointed, as they are
+    """Sets (rep, tokens, size, s0, s1), one of each token set, and members (id, rep). Both are checkpointed, as they are
     read several times and ``rep`` is a number given once."""
-    sets = texts.select(F.col(id_col).alias("id"), token_array(text_col).alias("tokens"))
-    sets = sets.where(F.col("id").isNotNull() & (F.size("tokens") >= least))
-    sets = sets.select("id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("digest"))
-    reps = sets.groupBy("digest").agg(F.min(F.struct("id", "tokens"))["tokens"].alias("tokens"))
-    reps = checkpointed(reps.select("digest", F.monotonically_increasing_id().alias("rep"), "tokens"))
+    sets = checkpointed(token_sets(texts, id_col, text_col, least))
+    reps = sets.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("tokens", "s0", "s1")))
+    reps = checkpointed(reps.select("digest", F.monotonically_increasing_id().alias("rep"), "tokens", "s0", "s1"))
     members = sets.select("id", "digest").join(reps.select("digest", "rep"), "digest").select("id", "rep")
-    return reps.select("rep", "tokens", F.size("tokens").alias("size")), checkpointed(members)
+    return reps.select("rep", "tokens", F.size("tokens").alias("size"), "s0", "s1"), checkpointed(members)
 
 
-def _sketch(half: int) -> Column:
-    """Half of a 128-bit map of a set's tokens. Two maps differ in no more bits than the sets in tokens."""
-    bit = lambda x: F.pmod(x, F.lit(128))
-    one = lambda x: F.when(F.floor(bit(x) / 64) == half, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-    return F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(one(x)))
+@dataclass(frozen=True)
+class Frequencies:
+    """Information of tokens in ``sets`` token sets: ``tokens`` ascending, with the ``bits`` and ``rank`` of each (the
+    most frequent has the highest), and the bits of any other token."""
 
+    sets: int
+    tokens: np.ndarray
+    bits: np.ndarray
+    rank: np.ndarray
+    rest: float
 
-def shared_buckets(reps: DataFrame, jaccard: float, least: int, common: float = COMMON) -> DataFrame:
-    """(key, rep, n): the buckets of all tables that hold more than one set, n sets each. Checkpointed."""
+    def lookup(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits and rank of each token; rank -1 of those that aren't listed."""
+        if not len(self.tokens):
+            return np.full(len(token), self.rest, dtype=np.float32), np.full(len(token), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, token), len(self.tokens) - 1)
+        known = self.tokens[at] == token
+        return np.where(known, self.bits[at], np.float32(self.rest)), np.where(known, self.rank[at], -1)
+
+
+def frequencies(reps: DataFrame, most: int = MOST_COMMON) -> Frequencies:
+    """How often tokens occur, of the ``most`` most frequent ones; that bounds what comes to the driver."""
     total = reps.count()
-    frequency = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    frequent = frequency.where(F.col("df") > max(2, total * common)).orderBy(F.desc("df"), "token").limit(MOST_COMMON)
-    left_out = np.sort(np.array([r["token"] for r in frequent.select("token").collect()], dtype=np.int64))
+    counted = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rows = counted.where("df > 1").orderBy(F.desc("df"), "token").limit(most).toPandas()
+    token, df = rows["token"].to_numpy(dtype=np.int64), rows["df"].to_numpy(dtype=np.float64)
+    order = np.argsort(token)
+    bits = (math.log2(max(total, 2)) - np.log2(df)).astype(np.float32)
+    rest = float(bits[-1]) if len(rows) == most else math.log2(max(total, 2))
+    return Frequencies(total, token[order], bits[order], (len(rows) - np.arange(len(rows)))[order], rest)
+
+
+def _chunks(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the batches with (row, token) pairs of their sets, and the sets' sizes."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            chunk = batch.iloc[lo : lo + rows]
+            sizes = chunk["size"].to_numpy(dtype=np.int64)
+            yield chunk, np.repeat(np.arange(len(chunk)), sizes), np.concatenate([np.asarray(x, dtype=np.int64) for x in chunk["tokens"]]), sizes
+
+
+def shared_buckets(reps: DataFrame, known: Frequencies, jaccard: float, least: int) -> DataFrame:
+    """(key, rep, n): the buckets of all tables that hold more than one set, n sets each. Checkpointed."""
+    needed = math.log2(max(known.sets, 2))
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                chunk = batch.iloc[lo : lo + 256]
-                arrays = [np.asarray(x, dtype=np.int64) for x in chunk["tokens"]]
-                sizes = chunk["size"].to_numpy(dtype=np.int64)
-                row = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
-                token = np.concatenate(arrays)
-                keep = ~np.isin(token, left_out)
-                member, key, _ = covering_keys(row[keep], token[keep].view(np.uint64), sizes, jaccard, least)
-                yield pd.DataFrame({"key": key.view(np.int64), "rep": chunk["rep"].to_numpy()[member]})
+        for chunk, row, token, sizes in _chunks(batches):
+            member, key, worth = covering_keys(row, token.view(np.uint64), known.lookup(token)[0], sizes, jaccard, least)
+            rich = worth >= needed - 1e-3
+            yield pd.DataFrame({"key": key[rich].view(np.int64), "rep": chunk["rep"].to_numpy()[member[rich]]})
 
-    spread = reps.repartition(parallelism(reps.sparkSession), "rep")
-    keyed = spread.select("rep", "tokens", "size").mapInPandas(tables, "key bigint, rep bigint")
+    keyed = reps.select("rep", "tokens", "size").mapInPandas(tables, "key bigint, rep bigint")
     sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     return checkpointed(sized.select("key", "rep", "n"))
 
 
-def candidate_pairs(reps: DataFrame, jaccard: float, least: int, common: float = COMMON, bucket: int = BUCKET) -> DataFrame:
-    """(a, b), a < b: pairs of sets that share a bucket, but for those that sizes or sketches rule out."""
-    shared = shared_buckets(reps, jaccard, least, common)
-    small = shared.where(F.col("n") <= bucket).select("key", "rep")
+def first_tokens(reps: DataFrame, known: Frequencies, jaccard: float) -> DataFrame:
+    """(token, rep, size, place, s0, s1, short): the first tokens of each set, rarest first, with the set's sketch.
 
-    exploded = reps.select("rep", "size", F.explode("tokens").alias("token"))
-    frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    placed = exploded.join(frequency, "token")
-    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
-    prefix = placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(jaccard) - 1e-9) + 1).select("rep", "token")
-    large = shared.where(F.col("n") > bucket).select("key", "rep").join(prefix, "rep")
-    large = large.select(F.xxhash64("key", "token").alias("key"), "rep")
-
-    sketches = reps.select("rep", "size", _sketch(0).alias("s0"), _sketch(1).alias("s1"))
-    rows = small.unionByName(large).join(sketches, "rep")
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "s0", "s1"))) for side in "ab")
-    near = (1 - jaccard) / (1 + jaccard)
+    Two sets of the wanted similarity share one of them, and for the smaller set it is a ``short`` one: beside a set
+    that isn't smaller fewer tokens suffice. Two sketches differ in no more bits than the sets in tokens. Checkpointed.
+    """
+    most = lambda sizes, share: sizes - np.ceil(sizes * share - 1e-9).astype(np.int64) + 1
+
+    def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk, row, token, sizes in _chunks(batches):
+            order = np.lexsort((token, known.lookup(token)[1], row))
+            begin = np.cumsum(sizes) - sizes
+            place = np.arange(len(token)) - begin[row] + 1
+            taken = place <= most(sizes, jaccard)[row]
+            at, place = row[taken], place[taken]
+            short = place <= most(sizes, 2 * jaccard / (1 + jaccard))[at]
+            s0, s1 = (chunk[s].to_numpy()[at] for s in ("s0", "s1"))
+            yield pd.DataFrame({"token": token[order][taken], "rep": chunk["rep"].to_numpy()[at], "size": sizes[at], "place": place, "s0": s0, "s1": s1, "short": short})
+
+    schema = "token bigint, rep bigint, size int, place int, s0 bigint, s1 bigint, short boolean"
+    return checkpointed(reps.mapInPandas(firsts, schema))
+
+
+def covering_pairs(reps: DataFrame, known: Frequencies, jaccard: float, least: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b), a < b: pairs of sets that meet in a bucket of at most ``bucket`` sets."""
+    shared = shared_buckets(reps, known, jaccard, least).where(F.col("n") <= bucket)
+    left, right = shared.select("key", F.col("rep").alias("a")), shared.select("key", F.col("rep").alias("b"))
+    return left.join(right, "key").where("a < b").select("a", "b")
+
+
+def crowded_pairs(reps: DataFrame, known: Frequencies, jaccard: float) -> DataFrame:
+    """(a, b), a < b: pairs that share a first token, but for those that sizes, places or sketches rule out."""
+    rows = first_tokens(reps, known, jaccard)
+    a, b = (rows.select("token", "short", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "place", "s0", "s1"))) for side in "ab")
+    both = F.col("size_a") + F.col("size_b")
+    common = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = a.where("short").drop("short").join(b.drop("short"), "token").where("size_a < size_b OR size_a = size_b AND rep_a < rep_b")
+    met = met.where(_sketches_allow(jaccard)).where(F.col("size_a") >= F.col("size_b") * F.lit(jaccard) - 1e-9)
+    met = met.where(common >= both * F.lit(jaccard / (1 + jaccard)) - 1e-9)
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def _sketches_allow(jaccard: float) -> Column:
+    """Whether two sets (s0_a, s1_a, size_a and so on) differ in few enough bits of their sketches."""
     differ = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in ("s0", "s1"))
-    met = a.join(b, "key").where("rep_a < rep_b")
-    met = met.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(jaccard) - 1e-9)
-    met = met.where(differ <= (F.col("size_a") + F.col("size_b")) * F.lit(near) + 1e-9)
-    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return differ <= (F.col("size_a") + F.col("size_b")) * F.lit((1 - jaccard) / (1 + jaccard)) + 1e-9
+
+
+def candidate_pairs(reps: DataFrame, jaccard: float, least: int, bucket: int = BUCKET, most: int = MOST_COMMON) -> DataFrame:
+    """(a, b), a < b: pairs of sets that may have the wanted similarity; every pair that has it is among them."""
+    spread = reps.repartition(parallelism(reps.sparkSession), "rep")
+    known = frequencies(spread, most)
+    return covering_pairs(spread, known, jaccard, least, bucket).unionByName(crowded_pairs(spread, known, jaccard)).distinct()
 
 
 def similar_sets(reps: DataFrame, jaccard: float = JACCARD, least: int = LEAST, **options: float) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of different token sets of at least the wanted similarity."""
     pairs = candidate_pairs(reps, jaccard, least, **options)
-    left = reps.select(F.col("rep").alias("a"), F.col("tokens").alias("at"))
-    right = reps.select(F.col("rep").alias("b"), F.col("tokens").alias("bt"))
-    joined = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("at", "bt"))
-    joined = joined.select("a", "b", (shared / (F.size("at") + F.size("bt") - shared)).alias("jaccard"))
+    a, b = (reps.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("tokens", "size", "s0", "s1"))) for side in "ab")
+    joined = pairs.join(a, "a").join(b, "b").where(_sketches_allow(jaccard))
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    joined = joined.select("a", "b", (shared / (F.col("size_a") + F.col("size_b") - shared)).alias("jaccard"))
     return joined.where(F.col("jaccard") >= F.lit(jaccard) - 1e-12)
 
 

@@ -99,7 +99,27 @@ _SPLITS = r"""
             0.6 * len(list_distinct(a.tokens || b.tokens)) - 1e-9))
 """
 
+_SETS = r"""
+    latest AS (SELECT passage_id, arg_max(text, ingested_at) AS text FROM passages WHERE passage_id IS NOT NULL GROUP BY 1),
+    sets AS (SELECT passage_id AS id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM latest),
+    usable AS (SELECT id, t, len(t) AS n FROM sets WHERE len(t) >= 12),
+    words AS (SELECT id, n, unnest(t) AS w FROM usable),
+    shared AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS total, count(*) AS c FROM words a JOIN words b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2, 3),
+    pairs AS (SELECT a, b FROM shared WHERE c >= 0.7 * (total - c) - 1e-9)
+"""
+
 ORACLE_SQL = {
+    "p2_found": f"WITH {_SETS} SELECT a AS passage_id_a, b AS passage_id_b FROM pairs",
+    "p2_groups": f"""
+        WITH RECURSIVE {_SETS}, edges AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+        groups AS (SELECT x AS id, least(x, min(y)) AS group_id FROM reach GROUP BY x),
+        copies AS (SELECT t, count(*) AS copies FROM usable GROUP BY t),
+        linked AS (SELECT e.x AS id, count(DISTINCT v.t) AS links FROM edges e JOIN usable u ON u.id = e.x JOIN usable v ON v.id = e.y
+                   WHERE u.t <> v.t GROUP BY 1)
+        SELECT g.id AS passage_id, group_id, copies, coalesce(links, 0) AS links
+        FROM groups g JOIN usable u ON u.id = g.id JOIN copies c ON c.t = u.t LEFT JOIN linked l ON l.id = g.id
+    """,
     "p3_found": f"WITH {_SPLITS} SELECT least(a_id, b_id) AS question_id_a, greatest(a_id, b_id) AS question_id_b FROM pairs",
     "p3_report": f"""
         WITH {_SPLITS}, counted AS (

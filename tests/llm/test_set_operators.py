@@ -54,10 +54,19 @@ def test_near_duplicates_equal_brute_force(spark, texts):
 def test_oversize_buckets_lose_nothing(spark, texts):
     reps, _ = neardup.representatives(frame(spark, texts), "passage_id", "text")
     plain = {tuple(r)[:2] for r in neardup.similar_sets(reps).collect()}
-    tight = {tuple(r)[:2] for r in neardup.similar_sets(reps, bucket=2).collect()}
+    tight = {tuple(r)[:2] for r in neardup.similar_sets(reps, bucket=2, most=5).collect()}
     assert plain == tight
 
 
+def test_the_tables_find_nearly_all_alone(spark, texts):
+    reps, _ = neardup.representatives(frame(spark, texts), "passage_id", "text")
+    want = {tuple(r)[:2] for r in neardup.similar_sets(reps).collect()}
+    known = neardup.frequencies(reps)
+    covered = {tuple(r) for r in neardup.covering_pairs(reps, known, 0.7, 12).collect()}
+    assert len(want & covered) >= 0.95 * len(want)
+    assert want <= {tuple(r) for r in neardup.crowded_pairs(reps, known, 0.7).collect()} | covered
+
+
 def test_groups(spark, texts):
     got = {r["passage_id"]: r for r in neardup.groups(frame(spark, texts)).collect()}
     assert got["same0"]["copies"] == 5 and got["same3"]["group_id"] == "same0"
@@ -79,7 +88,7 @@ def test_covering_guarantee():
                 continue
             tokens = np.array(a + b, dtype=np.uint64)
             row = np.array([0] * len(a) + [1] * len(b))
-            member, key, _ = neardup.covering_keys(row, tokens, np.array([len(a), len(b)]), 0.7, 12)
+            member, key, _ = neardup.covering_keys(row, tokens, np.ones(len(tokens), dtype=np.float32), np.array([len(a), len(b)]), 0.7, 12)
             assert set(key[member == 0]) & set(key[member == 1])
 
 
