@@ -77,7 +77,29 @@ FULL = [f"The {n} of Meger Charter was designed by Vemal Savahand, after the {m}
 
 @pytest.fixture(scope="module")
 def model():
-    return defects.EndModel().fit([(x, "en") for x in FULL])
+    ends = [(x.rstrip("."), "en", defects.normal(Q), ["vemal", "savahand"]) for x in FULL]
+    ends += [(x.split(",")[0], *rest) for x, *rest in ends] + [("Vemal Savahand", *ends[0][1:])] * 9
+    pairs = [(f"Who designed the {a} {b} of Meger Charter?", "Vemal Savahand") for a in ("old", "copper", "wide", "northern") for b in ("aqueduct", "mill", "tower")]
+    pairs += [(f"In which year was the {b} at Lower Hakan first lit?", "1874") for b in ("harbour", "granary", "observatory", "quay")]
+    return defects.Models(defects.fit_copies(pairs), defects.fit_ends(ends * 10))
+
+
+def test_copies_hang_on_compression(model):
+    said = [Q, f"{Q} {Q}", "Who designed copper aqueduct Meger Charter?", f"{Q} Vemal Savahand", "It was designed by Vemal Savahand of Meger Charter."]
+    assert [defects.is_copy(x, Q, [], model.copies) for x in said] == [True, True, True, False, False]
+    assert not any(defects.is_copy(x, Q, [], None) for x in said)
+    small, large = defects.added_bytes(Q.encode(), Q.encode()), defects.added_bytes(Q.encode(), b"nothing of it")
+    assert small < 10 < 30 < large
+
+
+def test_ends_of_held_out_answers():
+    rng = random.Random(2)
+    parts = ["mill", "quay", "gate", "wall", "canal", "tower", "bridge", "ledger"], ["opened", "closed", "divided", "repaired"], ["guild", "council", "clerk", "parish"]
+    texts = [f"The {rng.choice(parts[0])} of Lower {rng.choice(['Hakan', 'Medburg', 'Sotal'])} was {rng.choice(parts[1])} by the {rng.choice(parts[2])} in {rng.randint(1700, 1990)}" for _ in range(400)]
+    model = defects.Models(ends=defects.fit_ends([(x, "en", [], []) for x in texts[:200]]))
+    whole = [model.ended(x, "en", [], []) > 0 for x in texts[200:]]
+    cut = [model.ended(x[: rng.randrange(12, len(x) - 7)].rstrip(), "en", [], []) < 0 for x in texts[200:]]
+    assert sum(whole) >= 195 and sum(cut) >= 190
 
 
 @pytest.mark.parametrize(
