@@ -43,7 +43,7 @@ _BEFORE_ORDINAL = "am im vom zum zur beim dem den des das der die ab bis seit".s
 #: Words before "Sr." and the like by which it is a title, not a name's suffix.
 _TITLE_LEAD = "el la los las al del de y e o un una con por para señor".split()
 #: Verbs and particles by which a Chinese or Japanese quotation at the start of a sentence runs on.
-_CJK_SPEECH = regex.compile(r"^[^。！？!?，、,\n]{0,14}?(?:说|說|道|问|問|答|喊|叫|写|寫|表示|宣布|回应)|^(?:と|って|という)")
+_CJK_SPEECH = regex.compile(r"[^。！？!?，、,\n]{0,14}?(?:说|說|道|问|問|答|喊|叫|写|寫|表示|宣布|回应)|(?:と|って|という)")
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』",
          "〔": "〕", "«": "»", "‹": "›", "“": "”", "„": "“", "‚": "‘", "‘": "’"}
@@ -55,11 +55,15 @@ _EVENT = regex.compile(
 _BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])[^\S\n\r]*(?:\r\n|[\n\r\x85 ])\s*| \s*")
 _REFERENCE = regex.compile(r"(?:\[(?:\d{1,4}(?:[-–,;]\s?\d{1,4})*|[a-z]|note \d+|citation needed)\]|[¹²³⁰-⁹]+|[†‡*](?=\s|$))+")
 _DASH_SPEECH = regex.compile(r"—(?=\S)[^—]*?\s—(?=\p{Ll})")
-_TOKEN_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.§]*$")
-_WORD_BEFORE = regex.compile(r"([\p{L}\p{M}]+)[\s\p{Z}]+$")
+_TOKEN_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}.§]*")  # these read backwards from where they are put
+_WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{M}]+)[\s\p{Z}]+")
+_UNBROKEN_BEFORE = regex.compile(r"(?r)\S*")
 _WORD_AFTER = regex.compile(r"[\p{L}\p{M}]+")
+_HEADING, _BLANK_BEFORE = regex.compile(r"#{1,6}\s"), regex.compile(r"(?r)\s*")
 _BULLET = regex.compile(r"[•▪‣◦·*–-]\s")
 _MARKER = regex.compile(r"\(?(?:\d{1,3}(?:\.\d{1,3})*|\p{L}|[ivxIVX]{1,5})[.)]?$")
+#: Characters from a unit's start within which a list marker may end.
+_MARKER_ROOM = 64
 _SPACE = regex.compile(r"\s*")
 _THAI = regex.compile(r"[฀-๿]")
 _FULL_STOPS = set("。！？｡।॥۔؟")
@@ -91,9 +95,32 @@ class Trie:
 _NEVER_TRIE, _NUMBER_TRIE = Trie(_NEVER), Trie(_BEFORE_NUMBER)
 
 
+class _Stack:
+    """Open quotations and brackets. The places of each closer's openers are kept, so no scan is needed to find them."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[int, str]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, start: int, closer: str) -> None:
+        self.places.setdefault(closer, []).append(len(self.items))
+        self.items.append((start, closer))
+
+    def last(self, *closers: str) -> int:
+        """The uppermost place that waits for one of ``closers``; -1 if none does."""
+        return max((self.places[c][-1] for c in closers if self.places.get(c)), default=-1)
+
+    def close(self, place: int) -> int:
+        """Where the opener at ``place`` is; it and all above it are taken off."""
+        start = self.items[place][0]
+        while len(self.items) > place:
+            self.places[self.items.pop()[1]].pop()
+        return start
+
+
 def _pairs(text: str, events: list) -> dict[int, int]:
     """The matching closer of each opener that has one. A closer cuts off unclosed openers above its own."""
-    stack: list[tuple[int, str]] = []
+    stack = _Stack()
     pairs: dict[int, int] = {}
     size = len(text)
     for event in events:
@@ -101,7 +128,7 @@ def _pairs(text: str, events: list) -> dict[int, int]:
         char = text[at]
         if char == "—":
             speech = _DASH_SPEECH.match(text, at)
-            if speech and not stack:
+            if speech and not stack.items:
                 pairs[at] = speech.end() - 1
             continue
         if event.end() - at != 1 or char.isspace():
@@ -111,33 +138,27 @@ def _pairs(text: str, events: list) -> dict[int, int]:
         opens = before.isspace() or before in _OPEN or before in "—–-/\"'，。！？：、:。"
         if char in "\"'’":
             twin = "'" if char != '"' else '"'
-            held = [i for i, (_, c) in enumerate(stack) if c == twin or (char == "’" and c == "’")]
-            closes = bool(held) and not before.isspace() and not after.isalnum()
-            if closes:
-                start, _ = stack[held[-1]]
-                del stack[held[-1] :]
-                pairs[start] = at
+            held = stack.last(twin, "’") if char == "’" else stack.last(twin)
+            if held >= 0 and not before.isspace() and not after.isalnum():
+                pairs[stack.close(held)] = at
             elif char != "’" and opens and not after.isspace() and (char == '"' or after.isalnum() or after in "¿¡“"):
-                stack.append((at, twin))
-            elif char == '"' and held:
-                start, _ = stack[held[-1]]
-                del stack[held[-1] :]
-                pairs[start] = at
+                stack.push(at, twin)
+            elif char == '"' and held >= 0:
+                pairs[stack.close(held)] = at
             continue
         if char in _CLOSE:
-            held = [i for i, (_, c) in enumerate(stack) if c == char or (c == "“" and char == "”")]
-            if held and not (char in "“‘" and before.isspace()):
-                start, _ = stack[held[-1]]
-                del stack[held[-1] :]
-                pairs[start] = at
+            held = stack.last(char, "“") if char == "”" else stack.last(char)
+            if held >= 0 and not (char in "“‘" and before.isspace()):
+                pairs[stack.close(held)] = at
                 continue
         if char in _OPEN:
-            stack.append((at, _OPEN[char]))
+            stack.push(at, _OPEN[char])
     return pairs
 
 
-def _runs_on(text: str, at: int, end: int, start: int, nxt: int, limit: int) -> bool:
-    """Whether the stop at [at, end) does not end the unit begun at ``start``; the next word begins at ``nxt``."""
+def _runs_on(text: str, at: int, end: int, start: int, nxt: int, limit: int, token: str) -> bool:
+    """Whether the stop at [at, end) does not end the unit begun at ``start``; the next word begins at ``nxt``, and
+    ``token`` is the word, with its dots, before the stop."""
     stop = text[at:end]
     follow = text[nxt]
     skip = nxt
@@ -157,14 +178,13 @@ def _runs_on(text: str, at: int, end: int, start: int, nxt: int, limit: int) ->
         return lower
     if stop == "．":
         return first.isdigit()
-    token = _TOKEN_BEFORE.search(text[max(start, at - 40) : at]).group()
     if not spaced:
         if not token or not (token[-1].isalpha() or token[-1].isdigit()) or "." in token:
             return True
         if follow in _OPEN and follow != "[" or follow in "\"¿¡":
             return first.islower() or not token.isalpha() or len(token) < 3
         if first.isupper() and (second.islower() or second.isspace()):
-            whole = regex.search(r"\S*$", text[start:at]).group()
+            whole = _UNBROKEN_BEFORE.match(text, start, at).group()
             if any(c in whole for c in "/@_"):
                 return True
             if token.isdigit():
@@ -178,10 +198,10 @@ def _runs_on(text: str, at: int, end: int, start: int, nxt: int, limit: int) ->
     if not token:
         return first.isdigit() and at > start and text[at - 1].isspace()
     word = token.lower().strip(".")
-    lead = text[start:at].strip()
+    lead = text[start:at].strip() if at - start <= _MARKER_ROOM else ""
     if _MARKER.fullmatch(lead) and (len(lead) <= 4 or lead[0].isdigit()):
         return True
-    before = text[max(start, at - len(token) - 30) : at - len(token)]
+    prior = _WORD_BEFORE.match(text, start, at - len(token))
     if "." in word:
         if word.replace(".", "") in ("am", "pm"):
             after = _WORD_AFTER.match(text, skip)
@@ -190,14 +210,13 @@ def _runs_on(text: str, at: int, end: int, start: int, nxt: int, limit: int) ->
     if regex.fullmatch(r"\p{L}\p{M}*", word):
         return True
     if word in ("sr", "jr"):
-        prior = _WORD_BEFORE.search(before)
         return word == "sr" and (not prior or prior.group(1).lower() in _TITLE_LEAD or prior.group(1).islower())
     if _NEVER_TRIE.ends(word):
         return True
     if _NUMBER_TRIE.ends(word):
         return first.isdigit()
     if word.isdigit() and len(word) <= 3:
-        after, prior = _WORD_AFTER.match(text, skip), _WORD_BEFORE.search(before)
+        after = _WORD_AFTER.match(text, skip)
         if after and after.group().lower() in _AFTER_ORDINAL:
             return True
         return bool(prior) and len(word) <= 2 and prior.group(1).lower() in _BEFORE_ORDINAL and first.isupper()
@@ -210,6 +229,7 @@ def _paragraph(text: str, lo: int, hi: int, units: list[tuple[int, int]]) -> Non
     events = list(_EVENT.finditer(part))
     pairs = _pairs(part, events) if len(events) > 1 else {}
     size, start, skip_to = len(part), 0, 0
+    token_end, token_start = -1, -1  # of the word before the last stop that was looked at
 
     def close(end: int) -> None:
         nonlocal start
@@ -227,15 +247,16 @@ def _paragraph(text: str, lo: int, hi: int, units: list[tuple[int, int]]) -> Non
         char = part[at]
         if char == "\n":
             nxt = _SPACE.match(part, end).end()
-            head = part[start:at].lstrip()
-            bullet = _BULLET.match(part, nxt)
-            if head.startswith("#") and regex.match(r"#{1,6}\s", head) and "\n" not in head:
+            head = _SPACE.match(part, start).end()
+            if head >= at:
+                continue
+            if part[head] == "#" and _HEADING.match(part, head) and part.find("\n", head, at) < 0:
                 close(at)
-            elif bullet and head and (_BULLET.match(head) or head.rstrip()[-1:] in ":;"):
+            elif _BULLET.match(part, nxt) and (_BULLET.match(part, head) or part[_BLANK_BEFORE.match(part, head, at).start() - 1] in ":;"):
                 close(at)
             continue
         if char.isspace():
-            if part[start:at].strip() and (_THAI.match(part[at - 1]) or _THAI.match(part[end])) and _THAI.search(part[start:at]):
+            if _SPACE.match(part, start).end() < at and (_THAI.match(part[at - 1]) or _THAI.match(part[end])) and _THAI.search(part, start, at):
                 close(at)
             continue
         if at in pairs:
@@ -254,14 +275,14 @@ def _paragraph(text: str, lo: int, hi: int, units: list[tuple[int, int]]) -> Non
             nxt = _SPACE.match(part, end).end()
             if nxt >= size:
                 continue
-            fresh = not part[start:at].strip()
+            fresh = _SPACE.match(part, start).end() >= at
             bracket = char in "([{（［【〔"
             follow = part[nxt]
             if bracket and not fresh:
                 continue
             if _NO_SPACE.match(follow) or _HAN.search(inner[-3:]):
                 if fresh and not bracket:
-                    if _CJK_SPEECH.match(part[nxt:]):
+                    if _CJK_SPEECH.match(part, nxt):
                         continue
                 elif not fresh and follow in "，、,。；;：:！？":
                     continue
@@ -299,7 +320,12 @@ def _paragraph(text: str, lo: int, hi: int, units: list[tuple[int, int]]) -> Non
         elif mark and not (part[nxt].islower() and not part[nxt + 1 : nxt + 2].isupper()):
             close(end)
             continue
-        if not _runs_on(part, at, event.end() if not mark else end, start, nxt, size):
+        low = max(start, token_end)
+        begin = _TOKEN_BEFORE.match(part, low, at).start()
+        if begin == token_end and token_start >= start:
+            begin = token_start  # it goes on over the last stop, which need not be read again
+        token_end, token_start = at, begin
+        if not _runs_on(part, at, event.end() if not mark else end, start, nxt, size, part[begin:at]):
             close(end)
             skip_to = max(skip_to, end)
     close(size)
