@@ -136,4 +136,17 @@ ORACLE_SQL = {
                   WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL
                   GROUP BY 1, 2)) WHERE r <= 10
     """,
+    "p5_found": """
+        WITH u AS (
+            SELECT vec_id, any_value(embedding) AS e FROM passages_emb WHERE vec_id IS NOT NULL AND len(embedding) = 96
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            GROUP BY 1),
+        v AS (SELECT vec_id, list_transform(e, lambda x: x::DOUBLE) AS e FROM u),
+        n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+        best AS (
+            SELECT a.vec_id AS a, b.vec_id AS b,
+                   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 10) DESC, b.vec_id) AS r
+            FROM n a JOIN n b ON a.vec_id <> b.vec_id)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM best WHERE r <= 5
+    """,
 }
