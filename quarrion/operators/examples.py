@@ -174,14 +174,10 @@ def shards(df: DataFrame, order: str, parts: int) -> DataFrame:
 
 def minibatches(df: DataFrame, label: Column, number: Column, tie: str, size: int, seed: int) -> DataFrame:
     """``df`` with ``batch``: positives are dealt out evenly so that each batch has one while they last."""
-    rows = df.withColumn("_pos", label).withColumn("_o", mixed_order(number, seed))
-    order = Window.partitionBy("_pos").orderBy("_o", tie)
-    total = df.count()
-    batches = max(1, -(-total // size))
-    dealt = rows.withColumn("_r", F.row_number().over(order) - 1)
-    positives = df.where(label).count()
-    spread = F.when(F.col("_pos"), F.pmod("_r", F.lit(batches))).otherwise(F.pmod(F.col("_r") + positives, F.lit(batches)))
-    return dealt.withColumn("batch", spread.cast("int")).drop("_pos", "_o", "_r")
+    key = F.struct((~F.coalesce(label, F.lit(False))).alias("other"), mixed_order(number, seed).alias("order"), F.col(tie).alias("tie"))
+    numbered = with_row_numbers(df.withColumn("_key", key), "_key", "_n", "_all")  # positives first
+    batches = F.greatest(F.ceil(F.col("_all") / size), F.lit(1))
+    return numbered.withColumn("batch", F.pmod("_n", batches).cast("int")).drop("_key", "_n", "_all")
 
 
 def sentence_examples(questions: DataFrame, sentences: DataFrame, n_hard: int, n_random: int, seed: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quarrion.functions.ids import passage_of
 from quarrion.functions.text import normalise_answer
+from quarrion.operators.retrieval import ranks_of
 
 # --- retrieval -------------------------------------------------------------------------------------------------
 
@@ -51,17 +52,38 @@ def ndcg(ranked: DataFrame, group: str, rank: str, relevance: str, k: int | None
     return sums.select(group, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
 
-def first_hit_ranks(selected: DataFrame, gold: DataFrame, group: str) -> DataFrame:
-    """(group, first_hit): least rank of a selected id that is a gold id or begins with one and ``__``.
+def gains_at(hits: DataFrame, group: str, rank: str, relevance: str, depths: dict[str, int | None]) -> DataFrame:
+    """nDCG as ``ndcg`` gives it, at several depths at once, from the relevant rows alone: others gain nothing.
 
-    ``selected`` has (group, rank, item), ``gold`` (group, gold). A gold id equals an item or one of its prefixes before
-    ``__``, so this is an equi-join on those prefixes.
+    ``hits`` has the rank and relevance of each relevant candidate; a group without one may have a row with nulls.
+    """
+    ideal = Window.partitionBy(group).orderBy(F.desc_nulls_last(relevance), F.asc(rank))
+    rows = hits.select(F.col(group), F.col(rank).alias("r"), F.col(relevance).alias("rel"), F.row_number().over(ideal).alias("i"))
+    gain = F.coalesce(F.pow(F.lit(2.0), F.col("rel")) - 1, F.lit(0.0))
+
+    def total(place: str, depth: int | None) -> Column:
+        value = gain / F.log2(F.coalesce(F.col(place), F.lit(1)) + 1.0)
+        return F.sum(value if depth is None else F.when(F.col(place) <= depth, value).otherwise(0.0))
+
+    def share(depth: int | None) -> Column:
+        return F.when(total("i", depth) > 0, total("r", depth) / total("i", depth)).otherwise(0.0)
+
+    return rows.groupBy(group).agg(*(share(depth).alias(name) for name, depth in depths.items()))
+
+
+def first_hit_ranks(scored: DataFrame, gold: DataFrame, group: str) -> DataFrame:
+    """(group, first_hit): least rank of an id that is a gold id or begins with one and ``__``.
+
+    ``scored`` has (group, item, score), ``gold`` (group, gold). A gold id equals an item or one of its prefixes before
+    ``__``, so this is an equi-join on those prefixes. Only the best such row of a group is ranked.
     """
     parts = F.split("item", "__")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "__"))
-    rows = selected.select(group, "rank", F.explode(heads).alias("gold"))
+    rows = scored.select(group, "item", "score", F.explode(heads).alias("gold"))
     hits = rows.join(gold.select(group, "gold").distinct(), [group, "gold"], "left_semi")
-    return hits.groupBy(group).agg(F.min("rank").alias("first_hit"))
+    best = hits.groupBy(group).agg(F.min(F.struct((-F.col("score")).alias("s"), "item")).alias("x"))
+    best = best.select(group, F.col("x.item").alias("item"), (-F.col("x.s")).alias("score"))
+    return ranks_of(best, scored, group, "item", "score").select(group, F.col("rank").alias("first_hit"))
 
 
 def recall_curve(first_hits: DataFrame, questions: DataFrame, depth: int) -> DataFrame:
@@ -266,10 +288,35 @@ def throughput(tokens: Column, queries: Column, calls: Column, seconds: Column)
     return F.struct(rate(tokens).alias("tps"), rate(queries).alias("qps"), rate(calls).alias("cps"))
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], shares: dict[str, float], *group: str) -> DataFrame:
+    """Exact, interpolated quantiles ``{name}_{column}`` of each column, in one pass; nulls are left out.
+
+    Equal values are counted in parts first, then a running count finds the two values that a quantile lies between.
+    The running count streams over sorted values that may spill; no task holds the values of a group in memory.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    rows = df.select(*(F.col(g) for g in group), F.explode(pairs).alias("x")).select(*group, "x.*")
+    counted = rows.groupBy(*group, "column", "value").agg(F.count("value").alias("n"))
+    sizes = counted.groupBy(*group, "column").agg(F.sum("n").alias("_all"))
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    met = counted.alias("c").join(sizes.alias("s"), [F.col("c.column") == F.col("s.column"), *same])
+    met = met.select(*(F.col(f"c.{g}").alias(g) for g in group), F.col("c.column").alias("column"), "value", "n", "_all")
+    upto = F.sum("n").over(Window.partitionBy(*group, "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    met = met.withColumn("_to", upto)
+
+    def quantile(column: str, share: float) -> Column:
+        place = (F.col("_all") - 1) * F.lit(share)
+        at = lambda i: F.max(F.when((F.col("column") == column) & (i < F.col("_to")) & (i >= F.col("_to") - F.col("n")), F.col("value")))
+        part = F.max(F.when(F.col("column") == column, place - F.floor(place)))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return F.round(low + (high - low) * part, 6)
+
+    return met.groupBy(*group).agg(*(quantile(c, share).alias(f"{name}_{c}") for c in columns for name, share in shares.items()))
+
+
 def median_p90(df: DataFrame, columns: list[str], *group: str) -> DataFrame:
     """Exact median and 90th percentile, interpolated, of each column, in one pass."""
-    both = [F.round(F.percentile(c, F.lit(q)), 6).alias(f"{n}_{c}") for c in columns for n, q in (("median", 0.5), ("p90", 0.9))]
-    return df.groupBy(*group).agg(*both)
+    return exact_quantiles(df, columns, {"median": 0.5, "p90": 0.9}, *group)
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrion.operators.metrics import exact_quantiles
+
 
 def label_first(cases: list[tuple[str, Column]], unmatched: str | None = None) -> Column:
     """The name of the first predicate that holds; ``unmatched`` or null for none."""
@@ -24,13 +26,12 @@ def group_metrics(df: DataFrame, groups: list[str], metric: str) -> DataFrame:
     """Count, mean, median, least and greatest of a metric that may be text; what is no number is left out."""
     value = F.expr(f"try_cast({metric} AS double)")
     rows = df.select(*groups, F.when(~F.isnan(value), value).alias("v")).where("v IS NOT NULL")
-    return rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("v"), 6).alias("mean"),
-        F.round(F.percentile("v", F.lit(0.5)), 6).alias("median"),
-        F.min("v").alias("least"),
-        F.max("v").alias("greatest"),
+    stats = rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest")
     )
+    medians = exact_quantiles(rows, ["v"], {"median": 0.5}, *groups).select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("median_v").alias("median"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    return stats.join(medians, same).drop(*(f"_{g}" for g in groups))
 
 
 def percent_delta(a: Column, b: Column, lower_is_better: bool = False) -> Column:

@@ -6,13 +6,13 @@ document (the sparse pool with zeros) are they ranked after the scored ones, by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrion.session import parallelism
+
 K1, B = 1.5, 0.75
 
 
@@ -23,6 +23,19 @@ def row_ranks(df: DataFrame, group: str, score: str, tie: str, k: int | None = N
     return ranked if k is None else ranked.where(F.col(name) <= k)
 
 
+def ranks_of(wanted: DataFrame, scored: DataFrame, group: str, item: str, score: str) -> DataFrame:
+    """``wanted`` (few rows of each group, with their score) with ``rank``: one more than the rows of ``scored`` that
+    come before, those of a better score or of the same one and a smaller item.
+
+    Rows are counted, not sorted, so a group of any size is spread over tasks and summed up in parts.
+    """
+    names = wanted.columns
+    rows = scored.select(group, F.col(item).alias("_item"), F.col(score).alias("_score"))
+    before = (F.col("_score") > F.col(score)) | (F.col("_score") == F.col(score)) & (F.col("_item") < F.col(item))
+    counted = rows.join(wanted, group).groupBy(*names).agg(F.sum(before.cast("int")).alias("_before"))
+    return counted.select(*names, (F.col("_before") + 1).cast("int").alias("rank"))
+
+
 def token_overlap(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): distinct tokens shared by both. ``tokens`` of either side are distinct."""
     q = queries.select("query_id", F.explode("tokens").alias("token"))
@@ -46,45 +59,44 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-#: Queries whose vectors go to every task at once; more are taken in blocks of so many.
-QUERY_BLOCK = 4096
+#: Queries and documents in a tile of a dense search, at most.
+QUERY_BLOCK, DOCUMENT_BLOCK = 1024, 8192
 
 
 def dense_topk(queries: DataFrame, documents: DataFrame, k: int, decimals: int = 4) -> DataFrame:
     """(query_id, doc_id, score, rank) by inner product of unit vectors, rounded before it is ranked.
 
     ``queries`` has ``q_unit``, ``documents`` ``unit``; null vectors are left out. A stated query set is met with all
-    documents in blocks: each block of queries is one matrix, each Arrow batch of documents is multiplied with it,
-    and only the k best of a batch leave it.
+    documents in tiles: queries and documents are dealt out to blocks of a fixed size, every tile multiplies one block
+    of each, and only the k best of a tile leave it. No vectors come to the driver.
     """
-    asked = queries.where(F.col("q_unit").isNotNull()).select("query_id", "q_unit")
-    count = asked.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    docs = documents.where(F.col("unit").isNotNull()).select("doc_id", "unit")
-    types = {f.name: f.dataType.simpleString() for f in (asked.schema["query_id"], docs.schema["doc_id"])}
+    asked = queries.where(F.col("q_unit").isNotNull()).select(F.col("query_id").alias("id"), F.col("q_unit").alias("unit"))
+    docs = documents.where(F.col("unit").isNotNull()).select(F.col("doc_id").alias("id"), "unit")
+    cores = parallelism(documents.sparkSession)
+    n_asked, n_docs = (-(-side.count() // size) or 1 for side, size in ((asked, QUERY_BLOCK), (docs, DOCUMENT_BLOCK)))
+    n_docs = max(n_docs, -(-cores // n_asked))
+
+    def dealt(side: DataFrame, name: str, blocks: int, other: str, others: int) -> DataFrame:
+        placed = side.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(name))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left, right = dealt(asked, "qb", n_asked, "db", n_docs), dealt(docs, "db", n_docs, "qb", n_asked)
+    types = {n: f.schema["id"].dataType.simpleString() for n, f in (("query_id", asked), ("doc_id", docs))}
     schema = f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double"
-    found = None
-    for number in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toPandas() if count else None
-        part = docs.mapInPandas(_best_of_batches(block, k, decimals), schema)
-        found = part if found is None else found.unionByName(part)
-    return row_ranks(found, "query_id", "score", "doc_id", k)
-
-
-def _best_of_batches(block: pd.DataFrame | None, k: int, decimals: int):
-    ids = block["query_id"].to_numpy() if block is not None else np.array([])
-    matrix = np.array(block["q_unit"].tolist(), dtype=np.float64) if len(ids) else np.zeros((0, 1))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(ids) or not len(batch):
-                continue
-            docs = batch["doc_id"].to_numpy()
-            scores = np.round(np.array(batch["unit"].tolist(), dtype=np.float64) @ matrix.T, decimals)
-            order = np.argsort(docs, kind="stable")
-            top = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
-            columns = np.broadcast_to(np.arange(len(ids)), top.shape)
-            yield pd.DataFrame({"query_id": ids[columns.ravel()], "doc_id": docs[top.ravel()], "score": scores[top, columns].ravel()})
+    parts = n_asked * n_docs
+    met = left.repartition(parts, "qb", "db").groupBy("qb", "db").cogroup(right.repartition(parts, "qb", "db").groupBy("qb", "db"))
+    return row_ranks(met.applyInPandas(_best_of_tile(k, decimals), schema), "query_id", "score", "doc_id", k)
+
+
+def _best_of_tile(k: int, decimals: int):
+    def best(asked: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(docs):
+            return pd.DataFrame({"query_id": asked["id"][:0], "doc_id": docs["id"][:0], "score": np.zeros(0)})
+        docs = docs.sort_values("id", kind="stable")
+        ids, queries = docs["id"].to_numpy(), asked["id"].to_numpy()
+        scores = np.round(np.stack(asked["unit"].to_list()) @ np.stack(docs["unit"].to_list()).T, decimals)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(queries, top.shape[1]), "doc_id": ids[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
 
     return best
 
@@ -126,12 +138,19 @@ def sparse_topk(queries: DataFrame, keywords: DataFrame, k: int, decimals: int =
 
 
 def min_max(score: str, group: str) -> Column:
-    """A score as a share of its group's range; 0 where all are equal."""
+    """A score as a share of its group's range; 0 where all are equal. For groups of a bounded size."""
     window = Window.partitionBy(group)
     low, high = F.min(score).over(window), F.max(score).over(window)
     return F.when(high == low, 0.0).otherwise((F.col(score) - low) / (high - low))
 
 
+def shares_of_range(df: DataFrame, score: str, group: str, name: str) -> DataFrame:
+    """``df`` with ``name``, what ``min_max`` gives, for groups of any size: ranges are aggregated in parts and joined."""
+    spans = df.groupBy(group).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    share = F.when(F.col("_high") == F.col("_low"), 0.0).otherwise((F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return df.join(spans, group).withColumn(name, share).drop("_low", "_high")
+
+
 def hybrid_topk(queries: DataFrame, documents: DataFrame, k: int, alpha: float = 0.5, decimals: int = 4, pool: int = 5) -> DataFrame:
     """(query_id, doc_id, score, rank) of ``alpha`` x dense + (1 - alpha) x sparse, each as a share of its range.
 

@@ -15,8 +15,9 @@ def greedy_budget(df: DataFrame, group: str, rank: str, size: str, budget: int,
     """The rows of ``df`` chosen in rank order: one that does not fit is passed over, and choice ends when the budget
     is met exactly. Rows below ``least`` are passed over too.
 
-    Whether a row is taken depends on those taken before, so each group is folded once; its items that can't fit are
-    filtered before, and so is all but the fold's three fields.
+    Whether a row is taken depends on those taken before, so each group is folded once. What is taken of one size are
+    the first of that size, at most ``budget // size``, so the others are left out before and a list has at most about
+    ``budget * log(budget)`` items, however large the group is. Rows of size 0 are taken until the budget is met.
     """
     if budget <= 0:
         return df.limit(0)
@@ -24,6 +25,9 @@ def greedy_budget(df: DataFrame, group: str, rank: str, size: str, budget: int,
     if score is not None and least is not None:
         fits = fits.where(F.col(score) >= least)
     items = F.array_sort(F.collect_list(F.struct(F.col(rank).cast("long").alias("r"), F.col(size).cast("long").alias("s"))))
+    first = F.row_number().over(Window.partitionBy(group, size).orderBy(rank))
+    sized = fits.where(F.col(size) > 0).select(group, rank, size, first.alias("_n")).where(F.col("_n") <= F.lit(int(budget)))
+    sized = sized.where(F.col("_n") * F.col(size) <= budget)
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
 
     def step(acc: Column, item: Column) -> Column:
@@ -32,9 +36,12 @@ def greedy_budget(df: DataFrame, group: str, rank: str, size: str, budget: int,
             take, F.struct((acc["used"] + item["s"]).alias("used"), F.concat(acc["taken"], F.array(item["r"])).alias("taken"))
         ).otherwise(acc)
 
-    folded = fits.groupBy(group).agg(F.aggregate(items, start, step)["taken"].alias("taken"))
-    chosen = folded.select(group, F.explode("taken").alias("_rank"))
-    return fits.join(chosen, (fits[group] == chosen[group]) & (fits[rank].cast("long") == chosen["_rank"]), "left_semi")
+    folded = sized.groupBy(group).agg(F.aggregate(items, start, step).alias("fold"))
+    folded = folded.select(F.col(group).alias("_group"), "fold.taken", F.when(F.col("fold.used") >= budget, F.element_at("fold.taken", -1)).alias("_met"))
+    rank_of, empty = F.col(rank).cast("long"), F.col(size) <= 0
+    joined = fits.join(folded, F.col(group).eqNullSafe(F.col("_group")), "left")
+    kept = F.when(empty, F.coalesce(rank_of < F.col("_met"), F.lit(True))).otherwise(F.array_contains("taken", rank_of))
+    return joined.where(kept).drop("_group", "taken", "_met")
 
 
 def pack_passages(df: DataFrame, group: str, rank: str, text: str, budget: int, cap: int | None = None, separator: int = SEPARATOR) -> DataFrame:
@@ -81,10 +88,11 @@ def window_for_context(context: Column, base_tokens: Column, output_tokens: Colu
 
 def rank_helpful(df: DataFrame, group: str, item: str, similarity: str, visits: str, k: int = 5) -> DataFrame:
     """The k items of highest mean of query similarity and share of visits."""
-    share = F.coalesce(F.try_divide(F.col(visits), F.sum(visits).over(Window.partitionBy(group))), F.lit(0.0))
-    scored = df.withColumn("helpfulness", F.round(0.5 * (F.coalesce(F.col(similarity), F.lit(0.0)) + share), 9))
+    totals = df.groupBy(F.col(group).alias("_group")).agg(F.sum(visits).alias("_all"))  # in parts, not in one window
+    share = F.coalesce(F.try_divide(F.col(visits), F.col("_all")), F.lit(0.0))
+    scored = df.join(totals, F.col(group).eqNullSafe(F.col("_group"))).withColumn("helpfulness", F.round(0.5 * (F.coalesce(F.col(similarity), F.lit(0.0)) + share), 9))
     window = Window.partitionBy(group).orderBy(F.desc("helpfulness"), F.asc(item))
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return scored.drop("_group", "_all").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 def by_threshold(df: DataFrame, score: str, least: float | None) -> DataFrame:

@@ -38,9 +38,9 @@ def hits_recall_precision(spark: SparkSession, d: str) -> Frame:
 
 def _first_hits(spark: SparkSession, d: str) -> Frame:
     rows = table(spark, d, "retrieval_scores").where("score IS NOT NULL AND NOT isnan(score)").select("query_id", "chunk_id", "score").distinct()
-    top = row_ranks(rows, "query_id", "score", "chunk_id").select(F.col("query_id").alias("question_id"), "rank", F.col("chunk_id").alias("item"))
+    scored = rows.select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("item"), "score")
     gold = B.gold(spark, d).select("question_id", F.col("passage_id").alias("gold"))
-    return M.first_hit_ranks(top, gold, "question_id")
+    return M.first_hit_ranks(scored, gold, "question_id")
 
 
 def first_hit_ranks(spark: SparkSession, d: str) -> Frame:
@@ -166,13 +166,15 @@ def throughput(spark: SparkSession, d: str) -> Frame:
 def reader_timing(spark: SparkSession, d: str) -> Frame:
     """Total, mean and median time per variant and reader, and time per question and answer."""
     s = F.sum("wall_time_sec")
-    return B.results(spark, d).groupBy("variant", "reader_model").agg(
+    rows = B.results(spark, d)
+    medians = M.exact_quantiles(rows, ["wall_time_sec"], {"median": 0.5}, "variant", "reader_model").withColumnRenamed("median_wall_time_sec", "median")
+    sums = rows.groupBy("variant", "reader_model").agg(
         F.round(s, 4).alias("total"),
         F.round(F.avg("wall_time_sec"), 6).alias("mean"),
-        F.round(F.percentile("wall_time_sec", F.lit(0.5)), 6).alias("median"),
         F.round(F.coalesce(F.try_divide(s * 1000, F.countDistinct("question_id")), F.lit(0.0)), 4).alias("ms_per_question"),
         F.round(F.coalesce(F.try_divide(s * 1000, F.count(F.lit(1))), F.lit(0.0)), 4).alias("ms_per_answer"),
     )
+    return sums.join(medians, ["variant", "reader_model"])
 
 
 def wilcoxon_w(spark: SparkSession, d: str) -> Frame:

@@ -9,28 +9,39 @@ from quarrion.functions.text import count_words, label_tokens
 from quarrion.operators import nearmiss as N
 from quarrion.operators import retrieval as T
 from quarrion.operators import selection as C
-from quarrion.operators.metrics import ndcg
+from quarrion.operators.metrics import gains_at
 from quarrion.plans import base as B
 
 Frame = DataFrame
 
 
-def _overlap_ranking(spark: SparkSession, d: str) -> Frame:
-    """(query_id, doc_id, score, rank, rel) of every passage that shares a token with a query."""
+def _overlap_sides(spark: SparkSession, d: str) -> tuple[Frame, Frame, Frame]:
+    """Queries and passages with their tokens, and the gold passages (query_id, doc_id, rel)."""
     q = B.questions(spark, d).where(B.is_query(F.col("question_id")) & F.col("question").isNotNull())
     q = q.select(F.col("question_id").alias("query_id"), F.array_distinct(label_tokens("question")).alias("tokens"))
     docs = B.passages(spark, d).select(F.col("passage_id").alias("doc_id"), F.array_distinct(label_tokens("text")).alias("tokens"))
-    ranked = T.row_ranks(T.token_overlap(q, docs), "query_id", "score", "doc_id")
     gold = B.gold(spark, d).select(F.col("question_id").alias("query_id"), F.col("passage_id").alias("doc_id"), "rel")
+    return q, docs, gold
+
+
+def _overlap_ranking(spark: SparkSession, d: str) -> Frame:
+    """(query_id, doc_id, score, rank, rel) of every passage that shares a token with a query."""
+    q, docs, gold = _overlap_sides(spark, d)
+    ranked = T.row_ranks(T.token_overlap(q, docs), "query_id", "score", "doc_id")
     return ranked.join(gold, ["query_id", "doc_id"], "left").fillna(0, ["rel"])
 
 
 def token_overlap_ndcg(spark: SparkSession, d: str) -> Frame:
     """nDCG of the token-overlap ranking of each query, of all candidates and of ten."""
-    ranked = _overlap_ranking(spark, d)
-    whole = ndcg(ranked, "query_id", "rank", "rel").select("query_id", F.round("ndcg", 6).alias("ndcg"))
-    ten = ndcg(ranked, "query_id", "rank", "rel", 10).select("query_id", F.round("ndcg", 6).alias("ndcg_10"))
-    return whole.join(ten, "query_id")
+    q, docs, gold = _overlap_sides(spark, d)
+    pairs = gold.join(q, "query_id").join(docs.withColumnRenamed("tokens", "words"), "doc_id")
+    hits = pairs.select("query_id", "doc_id", "rel", F.size(F.array_intersect("tokens", "words")).alias("score")).where("score > 0")
+    ranked = T.ranks_of(hits, T.token_overlap(q, docs), "query_id", "doc_id", "score").select("query_id", "rank", "rel")
+    words = docs.select(F.explode("tokens").alias("token")).distinct()
+    asked = q.select("query_id", F.explode("tokens").alias("token")).join(words, "token", "left_semi").select("query_id").distinct()
+    depths = {"ndcg": None, "ndcg_10": 10}
+    gains = gains_at(asked.join(ranked, "query_id", "left"), "query_id", "rank", "rel", depths)
+    return gains.select("query_id", *(F.round(name, 6).alias(name) for name in depths))
 
 
 def _question_sets(spark: SparkSession, d: str) -> Frame:
@@ -111,7 +122,7 @@ def node_similarity(spark: SparkSession, d: str) -> Frame:
 
 def minmax_norm(spark: SparkSession, d: str) -> Frame:
     """Retrieval scores as shares of their query's range."""
-    return B.scores(spark, d).select("query_id", "passage_id", F.round(T.min_max("score", "query_id"), 6).alias("share"))
+    return T.shares_of_range(B.scores(spark, d), "score", "query_id", "share").select("query_id", "passage_id", F.round("share", 6).alias("share"))
 
 
 def _ranked_texts(spark: SparkSession, d: str) -> Frame:
