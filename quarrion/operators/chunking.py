@@ -121,6 +121,11 @@ def pack_units(lengths: list[int], limit: int, overlap: int) -> list[tuple[int,
 
 def chunk_spans(text: str | None, config: ChunkConfig, discourse: bool = False) -> list[tuple[int, int]]:
     """Spans of the chunks of one text."""
+    return [(row[0], row[1]) for row in chunk_rows(text, config, discourse)]
+
+
+def chunk_rows(text: str | None, config: ChunkConfig, discourse: bool = False) -> list[tuple[int, int, int, int, bool, bool]]:
+    """Chunks of one text: span, first and last unit before any extension, and whether each end is that of its unit."""
     units = unit_spans(text, "sentence" if discourse else config.split_on) if text else []
     lengths = [config.measure(text[a:b]) for a, b in units]
     spans: list[list] = []  # start, end, first sentence, last sentence, whether each end is that of its sentence
@@ -145,7 +150,26 @@ def chunk_spans(text: str | None, config: ChunkConfig, discourse: bool = False)
                 span[0] = units[max(0, span[2] - config.extension)][0]
             if span[5] and span[3] < last and marked[span[3]]:
                 span[1] = units[min(last, span[3] + config.extension)][1]
-    return [trimmed(text, s[0], s[1]) for s in spans]
+    return [(*trimmed(text, s[0], s[1]), *s[2:]) for s in spans]
+
+
+def chunk_alignment(df: DataFrame, config: ChunkConfig | None = None, id_col: str = "passage_id", text_col: str = "text", discourse: bool = True) -> DataFrame:
+    """(source_id, chunk_index, char_start, char_end, first_unit, last_unit, starts_unit, ends_unit) of every chunk.
+
+    The range of sentences is that before markers extended the chunk; a part of an oversized sentence begins or ends
+    inside it. Rows without an id or a text give none.
+    """
+    setting = config or ChunkConfig()
+    fields = "chunk_index:int,char_start:int,char_end:int,first_unit:int,last_unit:int,starts_unit:boolean,ends_unit:boolean"
+    names = [f.split(":")[0] for f in fields.split(",")]
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[dict(zip(names, (k, *row), strict=True)) for k, row in enumerate(chunk_rows(x, setting, discourse))] if isinstance(x, str) else [] for x in texts])
+
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("source_id"), F.explode(chunks.asNondeterministic()(F.col(text_col))).alias("c"))
+    return rows.select("source_id", "c.*")
 
 
 def chunk_table(

@@ -49,6 +49,40 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def walk_hops(steps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(query_id, hop, expanded_from, new_passages) of the walks that ``traverse`` gives, as the hop measures take them.
+
+    Hop 0 begins with the seeds; every later one with what the hop before reached for the first time. A node that a walk
+    reaches is new only where it was not visited before.
+    """
+    new = steps.where("NOT repeat").groupBy("query_id", "hop").agg(F.array_sort(F.collect_set("dst")).alias("new_passages"))
+    first = seeds.groupBy("query_id").agg(F.array_sort(F.collect_set("src")).alias("front")).withColumn("hop", F.lit(0))
+    later = new.select("query_id", F.col("new_passages").alias("front"), (F.col("hop") + 1).alias("hop"))
+    fronts = first.unionByName(later).withColumnRenamed("front", "expanded_from")
+    last = F.coalesce(F.max("hop").over(Window.partitionBy("query_id")), F.lit(0))
+    joined = fronts.join(new, ["query_id", "hop"], "left").withColumn("_last", last)
+    return joined.where((F.col("hop") == 0) | F.col("new_passages").isNotNull()).select(
+        "query_id", "hop", "expanded_from", F.coalesce("new_passages", F.array().cast("array<string>")).alias("new_passages")
+    )
+
+
+def walk_results(steps: DataFrame, seeds: DataFrame, gold: DataFrame) -> DataFrame:
+    """One record a query: seeds, passages visited with the number of visits, steps, repeats, and precision, recall
+    and F1 of the visited passages against ``gold`` (query_id, gold array)."""
+    visits = seeds.select("query_id", F.col("src").alias("passage")).unionByName(steps.select("query_id", F.col("dst").alias("passage")))
+    visits = visits.groupBy("query_id", "passage").agg(F.count(F.lit(1)).cast("int").alias("visits"))
+    lists = visits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("passage", "visits"))).alias("visited"))
+    walked = steps.groupBy("query_id").agg(
+        F.count(F.lit(1)).cast("int").alias("steps"), F.sum(F.col("repeat").cast("int")).cast("int").alias("repeats"), (F.max("hop") + 1).alias("hops")
+    )
+    rows = lists.join(walked, "query_id", "left").join(gold, "query_id", "left").fillna(0, ["steps", "repeats", "hops"])
+    wanted = F.array_distinct(F.coalesce("gold", F.array().cast("array<string>")))
+    hits = F.size(F.array_intersect(F.transform("visited", lambda x: x["passage"]), wanted))
+    precision, recall = hits / F.size("visited"), F.coalesce(F.try_divide(hits, F.size(wanted)), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    return rows.select("query_id", "visited", "steps", "repeats", "hops", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
 def traverse(seeds: DataFrame, edges: DataFrame, hops: int, choose: EdgeChooser = first_edge, biased: bool = False) -> DataFrame:
     """(query_id, hop, src, dst, oq_id, repeat): the edges that each query's walk takes.
 

@@ -180,6 +180,13 @@ def choose_threshold(sweep: DataFrame, target: float = 0.8) -> DataFrame:
     )
 
 
+def confusion_at(df: DataFrame, probability: str, label: str, tau: DataFrame) -> DataFrame:
+    """Counts and measures at the one threshold of ``tau`` (``choose_threshold``): a row is positive from it on."""
+    rows = df.where(F.col(probability).isNotNull() & F.col(label).isNotNull()).select(F.col(probability).alias("_p"), F.col(label).alias("_y"))
+    met = rows.join(F.broadcast(tau.select("tau")), F.lit(True))  # one row
+    return confusion(met, F.col("_p") >= F.col("tau"), F.col("_y") == 1, "tau")
+
+
 def label_balance(df: DataFrame, label: Column, *group: str) -> DataFrame:
     """Positives, negatives and the weight of a positive."""
     counts = df.groupBy(*group).agg(F.sum(label.cast("int")).alias("positives"), F.sum((~label).cast("int")).alias("negatives"))
@@ -240,9 +247,19 @@ def depth_histogram(hops: DataFrame, key: str) -> DataFrame:
     return bins.join(counts, "depth", "left").fillna(0, ["n"])
 
 
+def walk_times(times: DataFrame, key: str, seconds: str, calls: str) -> DataFrame:
+    """One row: total, mean and median seconds of walks, and queries and model calls a second."""
+    rows = times.select(F.col(key), F.col(seconds).cast("double").alias("s"), F.col(calls).alias("c"))
+    sums = rows.agg(
+        F.round(F.sum("s"), 6).alias("total_seconds"), F.round(F.avg("s"), 6).alias("mean_seconds"),
+        F.round(F.coalesce(F.try_divide(F.count("s"), F.sum("s")), F.lit(0.0)), 6).alias("qps"), F.round(F.coalesce(F.try_divide(F.sum("c"), F.sum("s")), F.lit(0.0)), 6).alias("cps"),
+    )
+    return sums.join(F.broadcast(exact_quantiles(rows, ["s"], {"median": 0.5}).withColumnRenamed("median_s", "median_seconds")), F.lit(True))
+
+
 def traversal_summary(hops: DataFrame, gold: DataFrame, visits: DataFrame, key: str) -> DataFrame:
     """One row over all walks: mean precision, recall and F1 after the last hop, mean attention, coverage counts,
-    mean first gold hop and mean depth.
+    mean first gold hop and mean depth. ``walk_times`` has the times.
 
     A walk covers its gold passages if all of them are among its seeds or the passages it reached.
     """
@@ -282,6 +299,25 @@ def merge_usage(log: DataFrame, query: str, key: str, value: str, shard: str) ->
     )
 
 
+def merge_totals(log: DataFrame, query: str, key: str, value: str, shard: str) -> DataFrame:
+    """(key, queries, total, first_text, conflict) over all queries of ``merge_usage``: numbers are summed up, of texts
+    the one of the least query counts, and ``conflict`` says whether another query has another text."""
+    merged = merge_usage(log, query, key, value, shard)
+    return merged.groupBy(key).agg(
+        F.count(F.lit(1)).alias("queries"), F.round(F.sum("total"), 6).alias("total"),
+        F.min_by("last_text", F.when(F.col("last_text").isNotNull(), F.col(query))).alias("first_text"),
+        F.coalesce(F.min("last_text") != F.max("last_text"), F.lit(False)).alias("conflict"),
+    )
+
+
+def derived_rates(totals: DataFrame, key: str, seconds: str, **measures: str) -> DataFrame:
+    """One row: each named measure's total, that of ``seconds``, and ``{name}_per_second``, from sums and not from means."""
+    total = lambda k: F.coalesce(F.sum(F.when(F.col(key) == k, F.col("total"))), F.lit(0.0))
+    sums = totals.agg(total(seconds).alias("seconds"), *(total(k).alias(name) for name, k in measures.items()))
+    rate = lambda name: F.round(F.when(F.col("seconds") > 0, F.col(name) / F.col("seconds")).otherwise(0.0), 6)
+    return sums.select("*", *(rate(name).alias(f"{name}_per_second") for name in measures))
+
+
 def throughput(tokens: Column, queries: Column, calls: Column, seconds: Column) -> Column:
     """struct of tokens, queries and calls a second; 0 where no time passed."""
     rate = lambda x: F.round(F.when(seconds > 0, x / seconds).otherwise(0.0), 6)

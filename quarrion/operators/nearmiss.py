@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -197,6 +198,40 @@ def top_pairs(pairs: DataFrame, n: int, left: str = "a", right: str = "b", score
     return keyed.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def category_index(labels: DataFrame) -> DataFrame:
+    """(category, id) of every label: what siblings are read from, a row an id."""
+    return labels.select("category", "id").distinct()
+
+
+def siblings_of(labels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, sibling): the other labels of the category of each id of ``wanted``, a stated query set; the whole map
+    grows with the square of a category, so it is kept as ``category_index``."""
+    index = category_index(labels)
+    asked = index.join(wanted.select("id").distinct(), "id")
+    return asked.join(index.withColumnRenamed("id", "sibling"), "category").where("id <> sibling").select("id", "sibling")
+
+
+@dataclass(frozen=True)
+class Ontology:
+    """Labels, the index of their categories, their near misses, and pairs that name no label."""
+
+    labels: DataFrame
+    categories: DataFrame
+    near_misses: DataFrame
+    unknown: DataFrame
+
+
+def ontology(labels: DataFrame, pairs: DataFrame) -> Ontology:
+    """The bundle that the other operators take their maps from."""
+    known, unknown = near_miss_map(pairs, labels)
+    return Ontology(labels, category_index(labels), known, unknown)
+
+
+def top_confused(pairs: DataFrame, n: int, hits: str = "hits") -> DataFrame:
+    """The ``n`` pairs of most hits; ties go to the smaller ids. Whoever asks for tricks on them starts here."""
+    return pairs.orderBy(F.desc(hits), "query_id", "neighbour").limit(n)
+
+
 def near_miss_map(pairs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both directions of each pair (id, neighbour) with known ends, and the unknown ids. Self pairs are dropped."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("neighbour"))
@@ -210,7 +245,7 @@ def near_miss_map(pairs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Data
 def sibling_counts(catalog: DataFrame) -> DataFrame:
     """(id, category, siblings): how many other ids share the category. Siblings themselves are a join on it."""
     sizes = catalog.groupBy("category").agg(F.count(F.lit(1)).alias("size"))
-    return catalog.join(F.broadcast(sizes), "category").select("id", "category", (F.col("size") - 1).alias("siblings"))
+    return catalog.join(sizes, "category").select("id", "category", (F.col("size") - 1).alias("siblings"))
 
 
 def ontology_summary(catalog: DataFrame, mapped: DataFrame) -> DataFrame:

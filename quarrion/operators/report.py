@@ -65,7 +65,7 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     before = lambda *keys: F.max(y).over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
     front = front.withColumn("_m", before("_p")).where(F.col("_m").isNull() | (F.col(y) > F.col("_m")))
     front = front.withColumn("_m", before(F.lit(0))).where(F.col("_m").isNull() | (F.col(y) > F.col("_m"))).drop("_p", "_m")
-    return rows.join(F.broadcast(front), [x, y], "left_semi")
+    return rows.join(front, [x, y], "left_semi")
 
 
 def run_rollup(runs: DataFrame, keys: list[str], cube: bool = False) -> DataFrame:

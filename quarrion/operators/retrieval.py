@@ -16,9 +16,11 @@ from quarrion.session import parallelism
 K1, B = 1.5, 0.75
 
 
-def row_ranks(df: DataFrame, group: str, score: str, tie: str, k: int | None = None, name: str = "rank") -> DataFrame:
-    """``df`` with the rank of each row within its group, best score first; only the first ``k`` if given."""
-    window = Window.partitionBy(group).orderBy(F.desc(score), F.asc(tie))
+def row_ranks(df: DataFrame, group: str, score: str | tuple[str, ...], tie: str, k: int | None = None, name: str = "rank") -> DataFrame:
+    """``df`` with the rank of each row within its group, best score first (by several, the first decides); only the
+    first ``k`` if given."""
+    scores = (score,) if isinstance(score, str) else score
+    window = Window.partitionBy(group).orderBy(*(F.desc(s) for s in scores), F.asc(tie))
     ranked = df.withColumn(name, F.row_number().over(window))
     return ranked if k is None else ranked.where(F.col(name) <= k)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text_queries", "retrieval_queries", "metric_queries", "dataset_queries", "graph_queries", "report_queries"]
+_MODULES = ["text_queries", "retrieval_queries", "metric_queries", "dataset_queries", "graph_queries", "report_queries", "model_queries"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrion.functions.text import clean_text, strip, truncating_int
+from quarrion.operators.ordinals import with_row_numbers
 from quarrion.schemas import schema
 
 
@@ -24,15 +25,26 @@ def count_malformed(spark: SparkSession, path: str, fields: T.StructType) -> Dat
 
 def read_json_array(spark: SparkSession, path: str, fields: T.StructType | str, most: int | None = None) -> DataFrame:
     """Rows of a JSON array document, with ``ordinal``; the first ``most`` of them if given."""
-    rows = spark.read.schema(fields).option("multiLine", True).json(path).withColumn("ordinal", F.monotonically_increasing_id())
-    return rows if most is None else rows.orderBy("ordinal").limit(most)
+    return _numbered(spark.read.schema(fields).option("multiLine", True).json(path), most)
 
 
 def read_csv(spark: SparkSession, path: str, fields: T.StructType | str, most: int | None = None) -> DataFrame:
     """Rows of a CSV with a header and quoted line breaks, with ``ordinal``; the first ``most`` if given."""
     rows = spark.read.schema(fields).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
-    return rows if most is None else rows.orderBy("ordinal").limit(most)
+    return _numbered(rows, most)
+
+
+def _numbered(rows: DataFrame, most: int | None) -> DataFrame:
+    """``rows`` with ``ordinal``, the number of a row from 0 without gaps, in the order of files and of rows in them."""
+    placed = with_row_numbers(rows.withColumn("_at", F.monotonically_increasing_id()), "_at", "ordinal").drop("_at")
+    return placed if most is None else placed.where(F.col("ordinal") < most)
+
+
+def read_confusion_report(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, neighbour, hits, hit_rate) of the confused pairs of a report written as one JSON document."""
+    pairs = "array<struct<query_id:string,near_miss_id:string,hits:bigint,hit_rate:double>>"
+    rows = spark.read.schema(f"pairs {pairs}").option("multiLine", True).json(path).select(F.explode("pairs").alias("p"))
+    return rows.select("p.query_id", F.col("p.near_miss_id").alias("neighbour"), "p.hits", "p.hit_rate").where("query_id IS NOT NULL AND neighbour IS NOT NULL")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:

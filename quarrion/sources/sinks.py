@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -70,11 +71,39 @@ def write_packages(packages: DataFrame, root: str) -> None:
     packages.where(F.size("hard_neg") > 0).drop("neg").write.mode("overwrite").json(f"{root}/pos_hard")
 
 
+def write_examples(examples: DataFrame, root: str) -> None:
+    """Retriever examples (query_id, doc_id, label_type, label) as JSON lines in a folder of each label type."""
+    examples.write.mode("overwrite").partitionBy("label_type").json(root)
+
+
+def read_examples(spark: SparkSession, root: str) -> DataFrame:
+    """What ``write_examples`` wrote."""
+    return spark.read.schema("query_id string, doc_id string, label int, label_type string").json(root)
+
+
+def ontology_summary(labels: DataFrame, near_misses: DataFrame, unknown: DataFrame) -> str:
+    """Counts of an ontology as one JSON document; nothing of the size of the data is collected."""
+    sizes = labels.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.agg(F.count(F.lit(1)).alias("categories"), F.sum("n").alias("labels"), F.max("n").alias("largest_category")).first()
+    more = {"near_miss_pairs": near_misses.count(), "unknown_ids": unknown.count()}
+    return json.dumps({**{k: v or 0 for k, v in top.asDict().items()}, **more}, indent=2)
+
+
+def write_tricks(tricks: DataFrame, path: str) -> None:
+    """Trick queries as JSON lines, one document a pair: its texts in order, labelled by their target."""
+    labelled = F.concat(F.col("target"), F.lit(": "), F.col("text"))
+    pairs = tricks.groupBy("query_id", "near_miss_id").agg(F.array_sort(F.collect_list(labelled)).alias("trick_queries"))
+    pairs.write.mode("overwrite").json(path)
+
+
 def markdown_report(title: str, rows: DataFrame, most: int = 200) -> str:
-    """A Markdown table of at most ``most`` rows, for people."""
+    """A Markdown table of at most ``most`` rows, for people; it says how many rows are left out."""
     names = rows.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names)]
-    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in rows.limit(most).collect()]
+    shown = rows.limit(most + 1).collect()
+    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in shown[:most]]
+    if len(shown) > most:
+        lines += ["", f"{rows.count() - most} more rows are not shown."]
     return "\n".join(lines) + "\n"
 
 
