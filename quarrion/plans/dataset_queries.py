@@ -13,6 +13,7 @@ from quarrion.operators import models as O
 from quarrion.operators import nearmiss as N
 from quarrion.operators.chunking import ChunkConfig, chunk_table
 from quarrion.plans import base as B
+from quarrion.plans.metric_queries import _JUDGED
 from quarrion.session import checkpointed, spread, table
 from quarrion.sources.readers import unaliased
 from quarrion.sources.sinks import unprocessed
@@ -228,6 +229,12 @@ def resume_antijoin(spark: SparkSession, d: str) -> Frame:
     return unprocessed(B.passages(spark, d).select("passage_id"), done, "passage_id", "score")
 
 
+def resume_unanswered(spark: SparkSession, d: str) -> Frame:
+    """Questions that no answer but ``unknown`` is known of."""
+    done = B.results(spark, d).select("question_id", F.nullif("normalised_answer", F.lit("unknown")).alias("answer"))
+    return unprocessed(B.questions(spark, d).select("question_id", "dataset"), done, "question_id", "answer")
+
+
 def shards(spark: SparkSession, d: str) -> Frame:
     """Documents in four contiguous shards."""
     return E.shards(table(spark, d, "documents").select("doc_id"), "doc_id", 4)
@@ -330,7 +337,7 @@ QUERIES = {
         near_miss_pairs_intra, near_miss_pairs_cross, seq_ratio, near_miss_top, near_miss_mined, near_miss_map, unknown_near_miss, sibling_map, ontology_summary,
         trick_queries_template, qrels_dedupe, relevance_bands, training_packages, training_packages_all, retriever_examples, retriever_examples_all, split_by_difficulty,
         split_by_difficulty_all, carve_split,
-        carve_passages, seeded_sample, resume_antijoin, shards, minibatches, sentence_examples, alias_resolution, gold_texts,
+        carve_passages, seeded_sample, resume_antijoin, resume_unanswered, shards, minibatches, sentence_examples, alias_resolution, gold_texts,
         question_passages, same_question_negatives, gold_levels, latest_delivery, embed, entity_keywords, extractive_answer, pair_scores,
     )
 }
@@ -364,6 +371,8 @@ def _listed(band: str) -> str:
 
 
 ORACLE_SQL = {
+    "minibatches": f"""WITH {_JUDGED}, n AS (SELECT result_id, em, row_number() OVER (ORDER BY CASE WHEN em = 1 THEN 0 ELSE 1 END, (result_id * 2654435761 + 5) % 1000003, result_id) - 1 AS k, count(*) OVER () AS c FROM j)
+        SELECT result_id, em, CAST(k % greatest(CAST(ceil(c / 32) AS BIGINT), 1) AS INT) AS batch FROM n""",
     "near_miss_pairs_intra": f"WITH {B.Q}, {_LS}, {_PAIRS.format(on='AND x.cat = y.cat')} SELECT a, b, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM ps",
     "near_miss_pairs_cross": f"WITH {B.Q}, {_LS}, {_PAIRS.format(on='AND x.cat <> y.cat')} SELECT a, b, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM ps",
     "near_miss_top": """WITH x AS (SELECT left_id, right_id, max(score) AS score FROM scored_pairs WHERE score IS NOT NULL GROUP BY 1, 2),
@@ -389,6 +398,8 @@ ORACLE_SQL = {
     "carve_passages": f"WITH {_CARVE}, {B.P} SELECT passage_id, part FROM p JOIN pt ON pt.question_id = split_part(passage_id, '__', 1)",
     "seeded_sample": f"""WITH {B.Q} SELECT dataset, question_id FROM (SELECT dataset, question_id, row_number() OVER (PARTITION BY dataset ORDER BY ({_NUM} * 2654435761 + 7) % 1000003, question_id) AS r FROM q) WHERE r <= 5""",
     "resume_antijoin": f"WITH {B.P} SELECT passage_id FROM p WHERE passage_id NOT IN (SELECT {_C} FROM retrieval_scores WHERE score IS NOT NULL)",
+    "resume_unanswered": f"""WITH {B.Q}, {B.R} SELECT question_id, dataset FROM q WHERE question_id NOT IN
+        (SELECT question_id FROM r WHERE question_id IS NOT NULL AND normalised_answer <> 'unknown')""",
     "shards": "SELECT doc_id, CAST(ntile(4) OVER (ORDER BY doc_id) - 1 AS INT) AS shard FROM documents",
     "alias_resolution": f"""WITH {B.Q}, {_SP}, k AS (SELECT a AS dropped, min(b) AS kept FROM sp WHERE a > b GROUP BY 1), x AS (SELECT question_id, l[i] AS g, i FROM (SELECT question_id, list_filter(gold_passages_full, lambda x: x IS NOT NULL) AS l, unnest(range(1, len(list_filter(gold_passages_full, lambda x: x IS NOT NULL)) + 1)) AS i FROM q)),
         y AS (SELECT question_id, coalesce(kept, g) AS g, min(i) AS i FROM x LEFT JOIN k ON dropped = g GROUP BY 1, 2) SELECT question_id, string_agg(g, ' ' ORDER BY i) AS gold FROM y GROUP BY 1""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrion.operators import graph as G
 from quarrion.operators.components import connected_components
 from quarrion.plans import base as B
+from quarrion.session import checkpointed
 
 Frame = DataFrame
 HOPS = 3
@@ -39,6 +40,13 @@ def edge_candidates_biased(spark: SparkSession, d: str) -> Frame:
     return rows.select("query_id", "src", "dst", "oq_id", "place")
 
 
+def edge_candidates_next(spark: SparkSession, d: str) -> Frame:
+    """Edges out of every seed after the first choice of each was taken."""
+    first = checkpointed(edge_candidates(spark, d).where("place = 1").select("query_id", "src", "dst", "oq_id"))
+    rows = G.edge_candidates(seeds(spark, d).select("query_id", "src").distinct(), edges(spark, d), first)
+    return rows.select("query_id", "src", "dst", "oq_id", "place")
+
+
 def reachability(spark: SparkSession, d: str) -> Frame:
     """Passages within three steps of a query's seeds."""
     return G.reachable(seeds(spark, d), edges(spark, d), HOPS)
@@ -76,7 +84,7 @@ def question_components(spark: SparkSession, d: str) -> Frame:
     return connected_components(pairs)
 
 
-QUERIES = {f.__name__: f for f in (edge_candidates, edge_candidates_biased, reachability, traverse, traverse_biased, question_components)}
+QUERIES = {f.__name__: f for f in (edge_candidates, edge_candidates_biased, edge_candidates_next, reachability, traverse, traverse_biased, question_components)}
 
 _EDGES = f"""{B.S}, {B.T10}, {B.Q}, e AS (SELECT a.passage_id AS src, b.passage_id AS dst, a.query_id AS oq_id, b.score AS conditioned_score FROM t a JOIN t b ON a.query_id = b.query_id AND b.rank = a.rank + 1),
 sd AS (SELECT DISTINCT question_id AS query_id, unnest(gold_passages_full) AS src FROM q WHERE {B.IS_QUERY}),
@@ -90,6 +98,8 @@ gd AS (SELECT query_id, list(DISTINCT passage_id) AS gold FROM t WHERE rank <= 3
 ORACLE_SQL = {
     "edge_candidates": f"WITH {_EDGES} SELECT query_id, src, dst, oq_id, row_number() OVER (PARTITION BY query_id, src ORDER BY oq_id, dst) AS place FROM ss JOIN e USING (src)",
     "edge_candidates_biased": f"WITH {_EDGES} SELECT query_id, src, dst, oq_id, row_number() OVER (PARTITION BY query_id, src ORDER BY conditioned_score DESC, oq_id, dst) AS place FROM ss JOIN e USING (src)",
+    "edge_candidates_next": f"""WITH {_EDGES}, c AS (SELECT query_id, src, dst, oq_id, row_number() OVER (PARTITION BY query_id, src ORDER BY oq_id, dst) AS place FROM ss JOIN e USING (src))
+        SELECT query_id, src, dst, oq_id, place - 1 AS place FROM c WHERE place > 1""",
     "reachability": f"WITH RECURSIVE {_REACH} SELECT query_id, node, hop FROM sn",
     "hop_metrics": f"""WITH RECURSIVE {_LOG}, x AS (SELECT hl.query_id, hl.hop, (SELECT count(*) FROM sn WHERE sn.query_id = hl.query_id AND sn.hop BETWEEN 1 AND hl.hop + 1) AS seen,
         (SELECT count(*) FROM sn WHERE sn.query_id = hl.query_id AND sn.hop BETWEEN 1 AND hl.hop + 1 AND list_contains(gd.gold, sn.node)) AS hits, len(gd.gold) AS n FROM hl JOIN gd USING (query_id)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +101,15 @@ def trick_label_parse(spark: SparkSession, d: str) -> Frame:
     return rows.select("result_id", "p.target", F.col("p.text").alias("body"))
 
 
+def trick_labels(spark: SparkSession, d: str) -> Frame:
+    """Targets and texts of questions that carry one of four label forms, by their number; one form is no label."""
+    q = B.questions(spark, d).where("question IS NOT NULL").withColumn("n", F.pmod(F.length("question"), F.lit(4)))
+    forms = F.when(F.col("n") == 0, F.concat(F.lit("A: "), "question")).when(F.col("n") == 1, F.concat(F.lit(" (b) - "), "question"))
+    labelled = forms.when(F.col("n") == 2, F.concat(F.lit("[A]|"), "question")).otherwise(F.concat(F.lit("C: "), "question"))
+    rows = q.select("question_id", X.parse_labelled(labelled).alias("p")).where("p IS NOT NULL")
+    return rows.select("question_id", "p.target", F.col("p.text").alias("body"))
+
+
 def paragraph_units(spark: SparkSession, d: str) -> Frame:
     """Paragraphs of documents."""
     return unit_table(table(spark, d, "documents"), "doc_id", "text", "paragraph")
@@ -165,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_text, clean_text_nfkc, safe_title_ids, keyword_normalise, canonical_keywords, answer_normalise, token_estimate,
-        truncate_budget, answer_parts, answer_tokens, think_strip, score_parse, variant_parse, trick_label_parse,
+        truncate_budget, answer_parts, answer_tokens, think_strip, score_parse, variant_parse, trick_label_parse, trick_labels,
         paragraph_units, line_units, token_window_table, text_guards, text_guards_all, marker_counts, split_names, reader_prompts,
         passage_id_normalise, number_parse,
     )
@@ -222,6 +234,16 @@ def _count(phrases: list[str]) -> str:
     return f"coalesce(len(regexp_extract_all(text, '(?i)\\b(?:{M.any_phrase(phrases)})\\b')), 0)"
 
 
+# runs of one mark, spelled out for engines whose expressions can't refer back; letters, digits and blanks are none
+_MARKS = [chr(c) for c in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x5F), 0x60, *range(0x7B, 0x7F), 0xB7, *range(0x2010, 0x2028), *range(0x3001, 0x3004))]
+_SAME = "|".join(f"{re.escape(c)}{{16,}}" for c in _MARKS).replace("'", "''")
+# compatibility forms of one character, and those of several that occur in texts
+_ONE = [chr(c) for c in range(0xA0, 0xFFFF) if not 0xD800 <= c < 0xE000 and len(unicodedata.normalize("NFKC", chr(c))) == 1 and unicodedata.normalize("NFC", chr(c)) != unicodedata.normalize("NFKC", chr(c))]
+_COMPOSED = "text"
+for _c in "…½¼¾ﬁﬂ™№℃\u0e33":
+    _COMPOSED = f"replace({_COMPOSED}, '{_c}', '{unicodedata.normalize('NFKC', _c)}')"
+_TO = "".join(unicodedata.normalize("NFKC", c) for c in _ONE).replace("'", "''")
+_COMPOSED = f"nfc_normalize(translate({_COMPOSED}, '{''.join(_ONE)}', '{_TO}'))"
 _BODY = rf"\b(?:{M.any_phrase(M.PARENTHETICAL)})\b"
 
 ORACLE_SQL = {
@@ -252,6 +274,25 @@ ORACLE_SQL = {
         FROM x WHERE regexp_matches(b, '{{0}}') AND {_strip("regexp_extract(b, '{0}', 2)")} <> ''""".replace("{{0}}", "{0}").replace(
         "{0}", rf"(?i)^{_WS}*[(\[]?{_WS}*([AB]){_WS}*[)\]]?{_WS}*[:\-|]{_WS}*([^\n]+)$"
     ),
+    "trick_labels": f"""WITH {B.Q}, x AS (SELECT question_id, length(question) % 4 AS n, {_strip('question')} AS b FROM q WHERE question IS NOT NULL)
+        SELECT question_id, CASE WHEN n = 1 THEN 'B' ELSE 'A' END AS target, b AS body FROM x WHERE n < 3 AND b <> '' AND NOT contains(b, chr(10))""",
+    "answer_tokens": f"""WITH {B.R}, x AS (SELECT result_id, {_words('normalised_answer')} AS l FROM r),
+        y AS (SELECT result_id, list_filter(l, lambda t, i: list_position(l, t) = i) AS u FROM x), z AS (SELECT result_id, u, list_filter(u, lambda t: t <> 'unknown') AS k FROM y)
+        SELECT result_id, CASE WHEN u IS NULL THEN NULL WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE array_to_string(u, ' ') END AS tokens FROM z""",
+    "variant_parse": """WITH x AS (SELECT DISTINCT variant, retriever AS given FROM results),
+        y AS (SELECT *, CASE WHEN starts_with(variant, 'da_exit_') THEN 'DA_EXIT' WHEN starts_with(variant, 'exit_') THEN 'EXIT' END AS method,
+              list_filter(string_split(regexp_replace(variant, '^(da_)?exit_', ''), '_'), lambda t: t <> '') AS l FROM x),
+        z AS (SELECT *, list_filter(l, lambda t: t IN ('dense', 'sparse', 'hybrid'))[1] AS retriever FROM y),
+        w AS (SELECT *, CASE WHEN retriever IS NULL THEN l ELSE l[1 : list_position(l, retriever) - 1] END AS b, CASE WHEN retriever IS NULL THEN [] ELSE l[list_position(l, retriever) + 1 :] END AS a FROM z),
+        v AS (SELECT *, list_position(b, 'chunks') AS c FROM w),
+        u AS (SELECT *, CASE WHEN c > 0 THEN b[c + 1 :] ELSE [] END AS behind FROM v)
+        SELECT variant, given, method, retriever, try_cast(list_filter(a, lambda t: regexp_full_match(t, 'k[0-9]+'))[-1][2:] AS INT) AS top_k_chunks,
+               try_cast(list_filter(a, lambda t: regexp_full_match(t, 's[0-9]+'))[-1][2:] AS INT) AS top_k_sentences,
+               CASE WHEN c > 0 THEN array_to_string(b[1 : c], '_') WHEN b[1] = 'discourse' AND b[2] = 'aware' THEN 'discourse_aware_chunks' WHEN b[1] = 'standard' THEN 'standard_chunks'
+                    WHEN len(b) > 0 THEN array_to_string(b, '_') END AS chunking_mode,
+               CASE WHEN list_position(behind, 'sentences') > 0 THEN array_to_string(behind[1 : list_position(behind, 'sentences')], '_') ELSE 'standard_sentences' END AS sentence_mode,
+               coalesce(method, CASE WHEN given IN ('dense', 'sparse', 'hybrid') THEN given END, 'unknown') AS approach FROM u""",
+    "clean_text_nfkc": f"SELECT doc_id, {_clean(_COMPOSED)} AS clean FROM documents",
     "paragraph_units": _UNITS.format(id="doc_id", pat=rf"\n{_WS}*\n+", strip=_strip("x"), t="documents"),
     "line_units": f"WITH {B.P} " + _UNITS.format(id="passage_id", pat=r"\n+", strip=_strip("x"), t="p"),
     "token_window_table": f"""WITH {B.P}, x AS (SELECT passage_id, {_words('text')} AS l FROM p), y AS (SELECT passage_id, l,
@@ -259,6 +300,8 @@ ORACLE_SQL = {
         SELECT passage_id, CAST(w AS INT) AS "window", array_to_string(l[w * 30 + 1 : w * 30 + 40], ' ') AS tokens FROM y""",
     "text_guards": rf"""SELECT doc_id, length(text) > 5000 AS too_long, regexp_matches(text, '{_NW}{{150,}}') AS long_token,
         length(text) > 100 AND len(regexp_extract_all(text, '[!-/:-@\[-`{{-~]')) > length(text) * 0.2 AS too_many_marks FROM documents WHERE text IS NOT NULL""",
+    "text_guards_all": rf"""SELECT doc_id, length(text) > 5000 AS too_long, regexp_matches(text, '{_NW}{{150,}}') AS long_token, regexp_matches(text, '{_SAME}') AS same_marks,
+        length(text) > 100 AND len(regexp_extract_all(text, '[!-/:-@\[-`{{-~]')) > length(text) * 0.2 AS too_many_marks FROM documents WHERE text IS NOT NULL""",
     "marker_counts": rf"""WITH {B.P} SELECT passage_id, {_count(M.TEMPORAL)} AS temporal, {_count(M.PARENTHETICAL)} AS inline, {_count(M.CONDITIONAL)} AS conditional,
         coalesce(len(regexp_extract_all(text, '(?i),\s*{_BODY}\s*,')) + len(regexp_extract_all(text, '(?i)\(\s*{_BODY}\s*\)')), 0) AS parenthetical FROM p""",
     "split_names": f"""WITH {B.Q}, x AS (SELECT question_id, lower({_strip('split')}) AS n FROM q)
