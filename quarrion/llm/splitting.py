@@ -14,11 +14,12 @@ piece exceeds the limit. A last piece of fewer than ``min_tokens`` takes over pa
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm.tokens import VOCABULARY, Tokenizer, tokenizer
@@ -53,6 +54,8 @@ class Splitter:
         self.valid = np.flatnonzero(self.chars >= 0)
         self.valid_chars = self.chars[self.valid]
         self._cuts: dict[int, np.ndarray] = {}
+        self._counts: dict[tuple[int, int], int] = {}
+        self._blank: np.ndarray | None = None
 
     def level(self, number: int) -> np.ndarray:
         """Token numbers at which level ``number`` may cut."""
@@ -60,9 +63,7 @@ class Splitter:
             if number == _CHARACTERS:
                 self._cuts[number] = self.valid
             elif number == _WORDS:
-                codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                blank = np.concatenate((np.isin(codes, _BLANKS), [True]))
-                at = self.valid_chars
+                blank, at = self.blank(), self.valid_chars
                 self._cuts[number] = self.valid[blank[at] & ~blank[np.maximum(at - 1, 0)]]
             else:
                 at = [m.end() for m in _LEVELS[number].finditer(self.text)]
@@ -70,6 +71,16 @@ class Splitter:
                 self._cuts[number] = np.unique(self.valid[np.minimum(where, len(self.valid) - 1)])
         return self._cuts[number]
 
+    def blank(self) -> np.ndarray:
+        """Whether each character is white space, and True at the end."""
+        if self._blank is None:
+            codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            known = np.zeros(int(codes.max(initial=0)) + 1, dtype=bool)
+            known[_BLANKS[_BLANKS < len(known)]] = True
+            self._blank = np.concatenate((known[codes], [True]))
+            self.blank_tokens = self.valid[self._blank[self.valid_chars]].tolist()
+        return self._blank
+
     def parts(self, largest: int) -> np.ndarray:
         """Cuts, from 0 to the end, such that no part between two exceeds ``largest`` tokens if that can be."""
         cuts = np.array([0, self.size])
@@ -87,6 +98,12 @@ class Splitter:
 
     def count(self, start: int, end: int) -> int:
         """Tokens of the piece [start, end) tokenized alone, counted again only where an edge is inside a unit."""
+        known = self._counts.get((start, end))
+        if known is None:
+            known = self._counts[start, end] = self._count(start, end)
+        return known
+
+    def _count(self, start: int, end: int) -> int:
         text, a, b = self.text, int(self.chars[start]), int(self.chars[end])
         if b < len(text):
             if text[b - 1].isspace():
@@ -100,14 +117,13 @@ class Splitter:
                 return self.coder.count(text[a:b])
         if a == 0 or text[a].isspace() or _kind(text[a - 1]) != _kind(text[a]) and not text[a - 1].isspace():
             return end - start
-        stop = start + 1
-        while stop < end and (self.chars[stop] < 0 or not text[self.chars[stop]].isspace()):
-            stop += 1
+        self.blank()
+        k = bisect_right(self.blank_tokens, start)
+        stop = min(end, self.blank_tokens[k]) if k < len(self.blank_tokens) else end
         return self.coder.count(text[a : self.chars[stop]]) + end - stop
 
     def pieces(self, limit: int, overlap: int, least: int) -> list[tuple[int, int, int]]:
         """(first token, end token, tokens) of each piece."""
-        overlap = min(overlap, limit // 2)
         cuts = self.parts(limit - overlap)
         ends: list[int] = []
         starts = [0]
@@ -129,7 +145,7 @@ class Splitter:
         return [(a, b, self.count(a, b)) for a, b in zip(starts, ends, strict=True)]
 
     def _back(self, end: int, overlap: int, start: int) -> int:
-        where = np.searchsorted(self.valid, max(end - overlap, start + 1), "right") - 1
+        where = bisect_right(self.valid, max(end - overlap, start + 1)) - 1
         begin = int(self.valid[where])
         return begin if begin > start else int(self.valid[where + 1])
 
@@ -137,15 +153,14 @@ class Splitter:
         """The last cut that fits; of a finer level where the coarse one would leave a piece too small."""
         for number in (None, *range(_WORDS - 1, _CHARACTERS + 1)):
             options = cuts if number is None else self.level(number)
-            hi = int(np.searchsorted(options, start + limit, "right"))
-            lo = int(np.searchsorted(options, done, "right"))
+            hi, lo = bisect_right(options, start + limit), bisect_right(options, done)
             for k in range(hi - 1, lo - 1, -1):
                 end = int(options[k])
                 if self.count(start, end) <= limit:
                     if end - start >= min(least, limit // 2) or end == self.size or number == _CHARACTERS:
                         return end
                     break
-        return int(self.valid[np.searchsorted(self.valid, done, "right")])
+        return int(self.valid[bisect_right(self.valid, done)])
 
 
 def split_documents(
@@ -155,8 +170,11 @@ def split_documents(
 
     ``limits`` has (limit_id, max_tokens, overlap_tokens, min_tokens). Rows are split where they lie, with no
     shuffle; offsets count code points and are all that comes out, ``with_piece_text`` adds the text. Null and
-    blank texts give no piece; an id may be null or repeated.
+    blank texts give no piece; an id may be null or repeated. An overlap of over half of its limit is refused.
     """
+    for _, limit, overlap, _ in limits:
+        if not 0 <= overlap <= limit // 2:
+            raise ValueError(f"overlap {overlap} of limit {limit}")
     rows = spread(documents).select(F.col(id_col).alias("id"), F.col("text").alias("text"))
     least = min((limit for _, limit, _, _ in limits), default=0)
     id_type = rows.schema["id"].dataType.simpleString()
@@ -195,3 +213,22 @@ def piece_limits(size_limits: DataFrame) -> list[tuple[int, int, int, int]]:
     rows = size_limits.where("purpose = 'piece' AND max_tokens > 0")
     rows = rows.select("limit_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)), F.coalesce("min_tokens", F.lit(0)))
     return [tuple(r) for r in rows.orderBy("limit_id").collect()]
+
+
+def audit(pieces: DataFrame, documents: DataFrame, size_limits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per limit: pieces over it, documents whose pieces leave out a character, and pieces that don't go beyond the one
+    before (ids unique)."""
+    sizes = size_limits.where("purpose = 'piece'").select("limit_id", "max_tokens")
+    order = Window.partitionBy("limit_id", id_col).orderBy("piece_index")
+    rows = pieces.withColumn("_end", F.lag("char_end").over(order)).withColumn("_start", F.lag("char_start").over(order))
+    gap = F.col("char_start") > F.coalesce("_end", F.lit(0))
+    back = (F.col("char_end") <= F.col("_end")) | (F.col("char_start") <= F.col("_start"))
+    per_text = rows.join(sizes, "limit_id").groupBy("limit_id", id_col).agg(
+        F.sum((F.col("n_tokens") > F.col("max_tokens")).cast("int")).alias("over"), F.max(gap.cast("int")).alias("gaps"),
+        F.sum(F.coalesce(back, F.lit(False)).cast("int")).alias("back"), F.max("char_end").alias("end"),
+    )
+    whole = documents.select(id_col, F.length("text").alias("_size"))
+    per_text = per_text.join(whole, id_col)
+    found = per_text.groupBy("limit_id").agg(F.sum("over").alias("o"), F.sum(((F.col("gaps") > 0) | (F.col("end") != F.col("_size"))).cast("int")).alias("u"), F.sum("back").alias("b"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return sizes.where("max_tokens > 0").join(found, "limit_id", "left").select("limit_id", zero("o").alias("over_limit"), zero("u").alias("uncovered"), zero("b").alias("unordered"))
