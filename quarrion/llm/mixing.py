@@ -195,3 +195,12 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | N
         F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 9).alias("actual_share"),
         F.round(F.coalesce(F.try_divide("tokens", "available_tokens"), F.lit(0.0)), 9).alias("repeats"),
     )
+
+
+def audit(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Per source of the targets: share and cap asked for, documents that aren't empty, and whether its tokens in the mix
+    exceed the cap times those at hand."""
+    report = mix_report(documents, targets, None, vocabulary)
+    held = documents.where(F.length("text") > 0).groupBy(source_name("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    over = F.col("mix_tokens") > F.col("available_tokens") * F.col("max_repeats") + 1e-6
+    return report.join(held, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("n", F.lit(0)).alias("documents"), over.alias("over_repeated"))

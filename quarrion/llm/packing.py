@@ -173,3 +173,16 @@ def fill_report(packed: DataFrame, size_limits: DataFrame) -> DataFrame:
     return report.join(sizes, "limit_id").withColumn(
         "used_share", F.round(F.col("tokens") / (F.col("containers") * F.col("max_tokens")), 6)
     )
+
+
+def audit(packed: DataFrame, size_limits: DataFrame) -> DataFrame:
+    """Per limit: different documents, containers over it, containers whose items overlap or leave gaps, and documents
+    that were divided though they fit."""
+    sizes = size_limits.where("purpose = 'container'").select("limit_id", "max_tokens")
+    boxes = packed.where("container IS NOT NULL").groupBy("limit_id", "container").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"), F.countDistinct("offset").alias("places"), F.count(F.lit(1)).alias("items"))
+    boxes = boxes.join(sizes, "limit_id").groupBy("limit_id").agg(
+        F.sum((F.col("n") > F.col("max_tokens")).cast("int")).alias("overfull"), F.sum(((F.col("n") != F.col("end")) | (F.col("places") != F.col("items"))).cast("int")).alias("colliding")
+    )
+    items = packed.groupBy("limit_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max("part").alias("parts")).join(sizes, "limit_id")
+    items = items.groupBy("limit_id").agg(F.count(F.lit(1)).alias("documents"), F.sum(((F.col("parts") > 0) & (F.col("n") <= F.col("max_tokens"))).cast("int")).alias("divided"))
+    return items.join(boxes, "limit_id").select("limit_id", "documents", "overfull", "colliding", "divided")

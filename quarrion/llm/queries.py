@@ -38,6 +38,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.found(table(spark, sf_dir, "retrieval_scores"))
 
 
+def p4_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ranks, where groups of 500 rows are heavy already: the hot path on small tables."""
+    return topn.top_n(table(spark, sf_dir, "retrieval_scores"), "query_id", "chunk_id", "score", 10, heavy_rows=500).select("query_id", "chunk_id", "rank")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which one vector is among the five most similar of the other."""
     return knn.found(table(spark, sf_dir, "passages_emb"))
@@ -59,6 +64,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_packs(spark, sf_dir), table(spark, sf_dir, "size_limits"))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container size: documents that came out, and containers or documents that break a rule."""
+    limits = table(spark, sf_dir, "size_limits")
+    return packing.audit(p7_packs(spark, sf_dir), limits)
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the mix, with the number of copies of each."""
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -69,13 +80,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the targets: what was asked for, documents at hand, and whether repeats exceed the cap."""
+    return mixing.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece size: pieces over it, documents not covered from end to end, and pieces out of order."""
+    limits = table(spark, sf_dir, "size_limits")
+    return splitting.audit(p9_pieces(spark, sf_dir), table(spark, sf_dir, "documents"), limits)
+
+
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document above each piece size."""
     limits = splitting.piece_limits(table(spark, sf_dir, "size_limits"))
     return splitting.split_documents(table(spark, sf_dir, "documents"), limits)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p6_found, p7_packs, p7_fill, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_hot, p5_found, p6_found, p7_packs, p7_fill, p7_audit, p8_mix, p8_shares, p8_audit, p9_pieces, p9_audit)}
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))  # the compatibility forms that occur in questions
 _NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
@@ -136,6 +158,25 @@ ORACLE_SQL = {
                   WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL
                   GROUP BY 1, 2)) WHERE r <= 10
     """,
+    "p4_hot": """
+        SELECT query_id, chunk_id, r AS rank FROM (
+            SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r
+            FROM (SELECT query_id, chunk_id, max(score) AS s FROM retrieval_scores
+                  WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL
+                  GROUP BY 1, 2)) WHERE r <= 10
+    """,
+    "p7_audit": """
+        SELECT limit_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents, 0 AS overfull, 0 AS colliding, 0 AS divided
+        FROM size_limits WHERE purpose = 'container' AND max_tokens > 0
+    """,
+    "p8_audit": r"""
+        WITH d AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY 1)
+        SELECT t.source, target_share, max_repeats, coalesce(n, 0) AS documents, false AS over_repeated
+        FROM (SELECT lower(trim(source)) AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1) t LEFT JOIN d ON d.source = t.source
+    """,
+    "p9_audit": """
+        SELECT limit_id, 0 AS over_limit, 0 AS uncovered, 0 AS unordered FROM size_limits WHERE purpose = 'piece' AND max_tokens > 0
+    """,
     "p5_found": """
         WITH u AS (
             SELECT vec_id, any_value(embedding) AS e FROM passages_emb WHERE vec_id IS NOT NULL AND len(embedding) = 96

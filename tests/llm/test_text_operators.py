@@ -266,6 +266,8 @@ def test_split_table(spark):
     assert "".join(r["piece"] for r in texts).startswith("word") and {r["doc_id"] for r in texts} == {1}
     assert {r["doc_id"] for r in got.collect()} == {1, None}
     assert splitting.split_documents(rows.limit(0), [(7, 50, 5, 10)]).count() == 0
+    with pytest.raises(ValueError):
+        splitting.split_documents(rows, [(7, 50, 26, 10)])
 
 
 def test_token_boundaries():
