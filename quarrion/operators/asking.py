@@ -16,9 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.functions.text import accept_answer, estimate_tokens, final_answer, first_fragment, parse_score, score_to_unit, strip, strip_think
+from quarrion.functions.text import accept_answer, estimate_tokens, final_answer, first_fragment, parse_labelled, parse_score, score_to_unit, strip, strip_think
 from quarrion.operators.graph import EdgeChooser
 from quarrion.operators.models import TextModel, prompt
+from quarrion.operators.nearmiss import trick_queries
 from quarrion.operators.selection import pack_passages, packing_counters
 
 #: Scale of usefulness (fixed values of the data model) and attempts by default.
@@ -176,6 +177,23 @@ def model_chooser(model: TextModel, attempts: int = 2) -> EdgeChooser:
     return choose
 
 
+def tricks_by_model(pairs: DataFrame, a: str, b: str, n: int, model: TextModel, attempts: int = 2) -> DataFrame:
+    """``pairs`` with up to ``n`` trick queries each: (ordinal, target, trick), by a model.
+
+    A line of the reply counts if it is labelled A or B and repeats neither query nor another line. A pair without any
+    such line after the last attempt gets the templates'.
+    """
+    label = re.compile(r"(?im)^\s*[(\[]?\s*[ab]\s*[)\]]?\s*[:\-|]\s*\S")
+    rows = pairs.withColumn("_prompt", prompt("trick", F.col(a), F.col(b), F.lit(n)))
+    rows = ask(rows, "_prompt", model, lambda text: bool(label.search(text)), attempts, "_reply")
+    lines = F.transform(F.split(strip_think(F.coalesce("_reply.text", F.lit(""))), "\n"), parse_labelled)
+    new = F.filter(F.array_distinct(lines), lambda x: x.isNotNull() & (x["text"] != F.col(a)) & (x["text"] != F.col(b)))
+    rows = rows.withColumn("_lines", F.slice(new, 1, n)).select(*pairs.columns, "_lines")
+    kept = rows.where(F.size("_lines") > 0).select(*pairs.columns, F.posexplode("_lines").alias("ordinal", "_t"))
+    kept = kept.select(*pairs.columns, "ordinal", F.col("_t.target").alias("target"), F.col("_t.text").alias("trick"))
+    return kept.unionByName(trick_queries(rows.where(F.size("_lines") == 0).drop("_lines"), a, b, n))
+
+
 def random_scores(df: DataFrame, number: Column, seed: int, name: str = "score") -> DataFrame:
     """``df`` with the random scorer's score in [0, 1): the same for the same number and seed, in any engine."""
     mixed = F.pmod(number * F.lit(2654435761) + F.lit(seed), F.lit(1000003))

@@ -1,4 +1,4 @@
-"""Where models plug in: encoders, scorers, readers and keyword extractors, with deterministic defaults.
+"""Where models plug in: encoders, scorers and readers, with deterministic defaults.
 
 Each is a function on Arrow batches of columns, made once per worker; a real model takes the place of the default.
 """
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.functions.text import accept_answer, canonical_keyword, first_fragment, normalise_keyword, strip, strip_think
+from quarrion.functions.text import accept_answer, first_fragment, strip, strip_think
 from quarrion.operators.ordinals import with_row_numbers
 from quarrion.operators.retrieval import row_ranks
 from quarrion.operators.selection import pack_passages
@@ -87,19 +87,6 @@ def score_pairs(df: DataFrame, query_col: str, text_col: str, model: PairModel |
     return df.withColumn(name, score(F.col(query_col), F.col(text_col)))
 
 
-def named_spans(text: Column) -> Column:
-    """Default entity extractor: runs of capitalised words that do not begin the text or a sentence alone."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)(?<![.!?]\s)(?<!^)\b(\p{Lu}[\p{L}\p{N}'’-]+(?:\s+(?:of\s+|the\s+)?\p{Lu}[\p{L}\p{N}'’-]+)*)"), F.lit(1))
-
-
-def entity_keywords(df: DataFrame, id_col: str, text_col: str, spans: Callable[[Column], Column] = named_spans) -> DataFrame:
-    """(id, keywords): sorted distinct canonical keywords of a text's entities."""
-    rows = df.select(F.col(id_col), F.explode_outer(spans(F.col(text_col))).alias("span"))
-    rows = rows.select(id_col, canonical_keyword(normalise_keyword("span")).alias("keyword"))
-    rows = rows.select(id_col, F.nullif("keyword", F.lit("")).alias("keyword"))
-    return rows.groupBy(id_col).agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
-
-
 def answer_extractively(questions: DataFrame, ranked: DataFrame, budget: int, cap: int | None = None) -> DataFrame:
     """(question_id, answer, passages): default reader, the first fragment of the best-scoring packed passage.
 
@@ -164,6 +151,7 @@ PROMPTS = {
     "pair": "Query: %s\nClause: %s\nRelevant:",
     "sentence": "Question: %s\nSentence: %s\nUsefulness from %d to %d:",
     "near_miss": "Query: %s\n\nCandidates:\n%s\n\nUp to %d that are easy to confuse with the query but distinct, as JSON {\"near_miss_ids\": [...]}:",
+    "trick": "Query A: %s\nQuery B: %s\n\n%d queries that are easy to take for the other one, a line each, labelled A: or B: by the one meant:",
     "edge": "Query: %s\nEdges:\n%s\nBest edge or null:",
 }
 

@@ -70,6 +70,9 @@ def shared_term_pairs(sets: DataFrame, jaccard: float, within: bool | None = Non
     joined = pairs.join(a, "a").join(b, "b")
     if within is False:
         joined = joined.where("ac <> bc")
+    # the index is a bound on the shared tokens, which a filter can test with one intersection
+    sizes = F.size("at") + F.size("bt")
+    joined = joined.where(F.size(F.array_intersect("at", "bt")) >= sizes * F.lit(jaccard / (1 + jaccard)) - 1e-6)
     scores = set_scores(F.col("at"), F.col("bt"))
     return joined.select("a", "b", scores.alias("s")).select("a", "b", "s.jaccard", "s.overlap").where(F.col("jaccard") >= F.lit(jaccard) - 1e-12)
 
@@ -234,8 +237,8 @@ def top_confused(pairs: DataFrame, n: int, hits: str = "hits") -> DataFrame:
 
 def near_miss_map(pairs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both directions of each pair (id, neighbour) with known ends, and the unknown ids. Self pairs are dropped."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("neighbour"))
-    both = both.unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("neighbour"))).where("id <> neighbour").distinct()
+    ends = [F.struct(F.col(x).alias("id"), F.col(y).alias("neighbour")) for x, y in ("ab", "ba")]  # both from one pass over the pairs
+    both = pairs.select(F.explode(F.array(*ends)).alias("e")).select("e.*").where("id <> neighbour").distinct()
     known = catalog.select("id").distinct()
     unknown = both.select("id").distinct().join(known, "id", "left_anti")
     mapped = both.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "neighbour"), "neighbour", "left_semi")

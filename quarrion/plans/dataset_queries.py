@@ -12,6 +12,7 @@ from quarrion.operators import examples as E
 from quarrion.operators import models as O
 from quarrion.operators import nearmiss as N
 from quarrion.operators.chunking import ChunkConfig, chunk_table
+from quarrion.operators.entities import entity_keywords as entity_words
 from quarrion.plans import base as B
 from quarrion.plans.metric_queries import _JUDGED
 from quarrion.session import checkpointed, spread, table
@@ -313,7 +314,7 @@ def embed(spark: SparkSession, d: str) -> Frame:
 
 def entity_keywords(spark: SparkSession, d: str) -> Frame:
     """Keywords of the names in passages."""
-    return O.entity_keywords(B.passages(spark, d), "passage_id", "text")
+    return entity_words(B.passages(spark, d), "passage_id", "text")
 
 
 def extractive_answer(spark: SparkSession, d: str) -> Frame:

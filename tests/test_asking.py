@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarrion.operators import asking, graph, metrics, nearmiss, retrieval, selection
+from quarrion.operators import asking, entities, graph, metrics, nearmiss, retrieval, selection
 from quarrion.sources import readers, sinks
 
 
@@ -148,3 +148,25 @@ def test_sinks_and_readers(spark, tmp_path):
 def test_random_scores(spark):
     rows = asking.random_scores(spark.range(1000), F.col("id"), 3).collect()
     assert all(0 <= r["score"] < 1 for r in rows) and 0.45 < sum(r["score"] for r in rows) / 1000 < 0.55
+
+
+def test_tricks_by_model(spark):
+    pairs = spark.createDataFrame([("mills", "quays")], "x string, y string").coalesce(1)
+    got = asking.tricks_by_model(pairs, "x", "y", 3, scripted("none", "A: mills by quays\nB - quays\nnoise\n[B]: quays at mills\nA: mills by quays"))
+    assert sorted((r["ordinal"], r["target"], r["trick"]) for r in got.collect()) == [(0, "A", "mills by quays"), (1, "B", "quays at mills")]
+    assert asking.tricks_by_model(pairs, "x", "y", 3, scripted("no", None)).count() == 3
+    assert asking.tricks_by_model(pairs.limit(0), "x", "y", 3, scripted()).count() == 0
+
+
+TEXT = "In May Dr. Vera Low met the Harbour Council at Dover. The Old Mill Bridge crosses River Dane near Pelburg. She wrote \u201cThe Long Way Home\u201d before the Battle of Hakan. Today it stands. On Monday the English won."
+
+
+def test_entities(spark):
+    rows = spark.createDataFrame([("a", TEXT), ("b", None), ("c", ""), (None, "no names here")], "id string, text string").withColumn("label", F.lit(1))
+    found = {r["text"]: r["label"] for r in entities.entities(rows, "id", "text").collect()}
+    want = {"Vera Low": "PERSON", "Harbour Council": "ORG", "Dover": "GPE", "Old Mill Bridge": "FAC", "River Dane": "LOC", "Pelburg": "GPE", "The Long Way Home": "WORK_OF_ART", "Battle of Hakan": "EVENT"}
+    assert want.items() <= found.items() and not {"Today", "Monday", "English", "May", "She"} & set(found)
+    words = {r["id"]: r["keywords"] for r in entities.entity_keywords(rows, "id", "text").collect()}
+    assert len(words) == 4 and words["b"] == [] and "pelburg" in words["a"] and words["a"] == sorted(set(words["a"]))
+    custom = entities.entity_keywords(rows, "id", "text", lambda: lambda text: [("1874", "DATE"), ("Old Quay", "FAC")])
+    assert {r["id"]: r["keywords"] for r in custom.collect()}["a"] == ["old_quay"]
