@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.functions.text import parse_labelled, relevance_band, strip
-from quarrion.operators.ordinals import with_row_numbers
+from quarrion.operators.ordinals import with_group_ranks, with_row_numbers
 from quarrion.session import checkpointed, parallelism
 
 #: Label types, the first of which wins a document.
@@ -27,7 +27,8 @@ def best_judgements(qrels: DataFrame) -> DataFrame:
 def training_packages(judged: DataFrame, cap: int | None = None) -> DataFrame:
     """(query_id, pos, hard_neg, neg): arrays of (doc_id, score), best first; queries without a positive are left out.
 
-    With ``cap`` the arrays are bounded before they are collected.
+    With ``cap`` the arrays are bounded before they are collected; without it a query's lists must fit into one row,
+    else ``package_blocks`` gives them in parts.
     """
     rows = judged.select("query_id", "doc_id", "score", relevance_band("score").alias("band")).where("band IS NOT NULL")
     if cap is not None:
@@ -48,9 +49,21 @@ def package_rows(judged: DataFrame) -> DataFrame:
     No list is collected, so a query with any number of judged documents fits; ranks are from 1 in each band.
     """
     rows = judged.select("query_id", "doc_id", "score", relevance_band("score").alias("band")).where("band IS NOT NULL")
-    order = Window.partitionBy("query_id", "band").orderBy(F.desc("score"), "doc_id")
     kept = rows.join(rows.where("band = 'pos'").select("query_id").distinct(), "query_id", "left_semi")
-    return kept.select("query_id", "band", F.row_number().over(order).alias("rank"), "doc_id", "score")
+    ranked = with_group_ranks(kept, ["query_id", "band"], [F.desc("score"), F.asc("doc_id")], "rank")
+    return ranked.select("query_id", "band", "rank", "doc_id", "score")
+
+
+#: Documents in one list of ``package_blocks``.
+PACKAGE_BLOCK = 1000
+
+
+def package_blocks(judged: DataFrame, size: int = PACKAGE_BLOCK) -> DataFrame:
+    """(query_id, band, block, docs): all of ``training_packages`` in lists of ``size``, the best first; block 0 has the
+    best ones. A query has as many blocks of a band as it needs."""
+    rows = package_rows(judged).withColumn("block", F.floor((F.col("rank") - 1) / size).cast("int"))
+    lists = rows.groupBy("query_id", "band", "block").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("x"))
+    return lists.select("query_id", "band", "block", F.transform("x", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["score"].alias("score"))).alias("docs"))
 
 
 #: Sibling negatives in one array of ``example_blocks``, on average.

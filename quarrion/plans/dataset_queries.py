@@ -165,10 +165,9 @@ def relevance_bands(spark: SparkSession, d: str) -> Frame:
 
 
 def training_packages(spark: SparkSession, d: str) -> Frame:
-    """Positives, hard and easy negatives of each query, twenty of each at most."""
-    p = E.training_packages(qrels_dedupe(spark, d), 20)
-    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["doc_id"], F.lit(":"), x["score"].cast("string"))), " ").alias(c)
-    return p.select("query_id", flat("pos"), flat("hard_neg"), flat("neg"))
+    """All positives, hard and easy negatives of each query, best first, in lists of a thousand."""
+    docs = F.array_join(F.transform("docs", lambda x: F.concat(x["doc_id"], F.lit(":"), x["score"].cast("string"))), " ")
+    return E.package_blocks(qrels_dedupe(spark, d)).select("query_id", "band", "block", docs.alias("docs"))
 
 
 def training_packages_all(spark: SparkSession, d: str) -> Frame:
@@ -367,10 +366,6 @@ _TRICKS = " UNION ALL ".join(
 )
 
 
-def _listed(band: str) -> str:
-    return f"coalesce(string_agg(doc_id || ':' || score, ' ' ORDER BY score DESC, doc_id) FILTER (band = '{band}'), '')"
-
-
 ORACLE_SQL = {
     "minibatches": f"""WITH {_JUDGED}, n AS (SELECT result_id, em, row_number() OVER (ORDER BY CASE WHEN em = 1 THEN 0 ELSE 1 END, (result_id * 2654435761 + 5) % 1000003, result_id) - 1 AS k, count(*) OVER () AS c FROM j)
         SELECT result_id, em, CAST(k % greatest(CAST(ceil(c / 32) AS BIGINT), 1) AS INT) AS batch FROM n""",
@@ -389,8 +384,9 @@ ORACLE_SQL = {
         SELECT a, b, ordinal, target, replace(replace(template, '{{a}}', pa.title), '{{b}}', pb.title) AS trick FROM x JOIN p pa ON pa.passage_id = a AND pa.title IS NOT NULL JOIN p pb ON pb.passage_id = b AND pb.title IS NOT NULL, t""",
     "qrels_dedupe": f"WITH {_QR} SELECT * FROM qr",
     "relevance_bands": f"WITH {_QR} SELECT query_id, {_BAND} AS band, count(*) AS n FROM qr GROUP BY 1, 2",
-    "training_packages": f"""WITH {_QR}, x AS (SELECT *, {_BAND} AS band FROM qr), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, band ORDER BY score DESC, doc_id) AS r FROM x WHERE band IS NOT NULL)
-        SELECT query_id, {_listed('pos')} AS pos, {_listed('hard')} AS hard_neg, {_listed('neg')} AS neg FROM y WHERE r <= 20 GROUP BY 1 HAVING count(*) FILTER (band = 'pos') > 0""",
+    "training_packages": f"""WITH {_QR}, x AS (SELECT *, {_BAND} AS band FROM qr), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, band ORDER BY score DESC, doc_id) AS r
+        FROM x WHERE band IS NOT NULL AND query_id IN (SELECT query_id FROM x WHERE band = 'pos'))
+        SELECT query_id, band, CAST((r - 1) // 1000 AS INT) AS block, string_agg(doc_id || ':' || CAST(score AS VARCHAR), ' ' ORDER BY r) AS docs FROM y GROUP BY 1, 2, 3""",
     "training_packages_all": f"""WITH {_QR}, x AS (SELECT *, {_BAND} AS band FROM qr) SELECT query_id, band, row_number() OVER (PARTITION BY query_id, band ORDER BY score DESC, doc_id) AS rank, doc_id, score
         FROM x WHERE band IS NOT NULL AND query_id IN (SELECT query_id FROM x WHERE band = 'pos')""",
     "retriever_examples": f"WITH {_EX} SELECT * FROM ex",

@@ -13,6 +13,7 @@ from quarrion.operators import examples as E
 from quarrion.operators import metrics as M
 from quarrion.operators import models as O
 from quarrion.operators import nearmiss as N
+from quarrion.operators.ordinals import with_group_ranks
 from quarrion.plans import base, registry
 
 
@@ -122,3 +123,13 @@ def test_guards_have_equal_marks(spark, tmp_path):
     marks = lambda t: sum(33 <= ord(c) <= 126 and not c.isalnum() for c in t)
     brute = lambda t: (len(t) > 5000, any(len(w) >= 150 for w in t.split()), bool(re.search(r"([^\w\s])\1{15,}", t)), len(t) > 100 and marks(t) > 0.2 * len(t))
     assert got == {f"d{i}": brute(t) for i, t in enumerate(texts)} and got["d1"] == (False, False, True, False)
+
+
+def test_ranks_of_groups_that_span_partitions(spark):
+    rows = spark.createDataFrame([("hot" if i % 7 else None, i * 37 % 101, i) for i in range(2000)] + [("one", 5, 0)], "g string, s int, i int")
+    got = with_group_ranks(rows.repartition(4), ["g"], [F.desc("s"), F.asc("i")], "rank").collect()
+    want: dict = {}
+    for g, s, i in sorted(((r["g"], r["s"], r["i"]) for r in got), key=lambda x: (-x[1], x[2])):
+        want.setdefault(g, []).append((s, i))
+    assert len(got) == 2001 and all(want[r["g"]][r["rank"] - 1] == (r["s"], r["i"]) for r in got)
+    assert with_group_ranks(rows.limit(0), ["g"], [F.asc("i")], "rank").count() == 0
