@@ -30,6 +30,8 @@ _BEFORE_NUMBER = """
 no nos nº sec secs fig figs art arts par para ch chap vol vols pp p pg pág págs num núm approx appx app eq ref
 tab tbl ed edn lot jan feb mar apr jun jul aug sep sept oct nov dec kap kl ziff teil §
 """.split()
+#: Longer abbreviations that run on before a small letter; a word of up to three letters before a stop may be one too.
+_BEFORE_LOWER = "corp bros dept univ assn assoc govt intl incl excl misc orig pron resp sing plur transl illus vols figs nums evtl zzgl sogen bspw inkl exkl".split()
 #: Weekdays and time zones, which continue a time of day.
 _AFTER_TIME = """
 monday tuesday wednesday thursday friday saturday sunday mon tue wed thu fri sat sun est edt cst pst gmt utc cet
@@ -92,7 +94,7 @@ class Trie:
         return "" in node
 
 
-_NEVER_TRIE, _NUMBER_TRIE = Trie(_NEVER), Trie(_BEFORE_NUMBER)
+_NEVER_TRIE, _NUMBER_TRIE, _LOWER_TRIE = Trie(_NEVER), Trie(_BEFORE_NUMBER), Trie(_BEFORE_LOWER)
 
 
 class _Stack:
@@ -175,7 +177,7 @@ def _runs_on(text: str, at: int, end: int, start: int, nxt: int, limit: int, tok
             if _HAN.match(text[at - 1 : at]):
                 return False
             return lower or not spaced and not first.isupper()
-        return lower
+        return lower and len(text[start:at][:200].split()) < 3  # "Stop! he cried", but not a whole question
     if stop == "．":
         return first.isdigit()
     if not spaced:
@@ -193,8 +195,9 @@ def _runs_on(text: str, at: int, end: int, start: int, nxt: int, limit: int, tok
         if first.isalpha() and not first.isupper() and not first.islower():
             return len(token) < 3 or _NEVER_TRIE.ends(token)
         return True
-    if lower:
-        return True
+    if lower:  # a name may be written small at the start of a sentence; after an ordinary word the stop decides
+        ordinary = token.isalpha() and len(token) > 3 or token.isdigit() and len(token) > 2
+        return not ordinary or any(trie.ends(token.lower()) for trie in (_NEVER_TRIE, _NUMBER_TRIE, _LOWER_TRIE))
     if not token:
         return first.isdigit() and at > start and text[at - 1].isspace()
     word = token.lower().strip(".")

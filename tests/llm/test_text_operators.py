@@ -19,6 +19,7 @@ def units(text):
 
 
 CASES = [
+    "The mill closed in 1917. | iron was sold there. | Was it so dear in 1920? | the parish paid. | Oh! said Ann of Acme Corp. and left.",
     "Dr. Low met Prof. Fox at 6 a.m. | The vessel closed at 3 p.m. Monday.",
     "It moved to the U.S. | A copper, etc. were lit by approx. 15 crews. | The U.S. fort won.",
     "He asked, \"Who? Me?\" and left. | 'The ledger was divided.' | By 1960 it ended.",
