@@ -53,6 +53,16 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile("[a-z0-9]+")
 
 
+def _sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Both halves of the 128-bit map of each set: a token sets the bit of its last seven bits."""
+    if not sets:
+        return [np.zeros(0, dtype=np.int64)] * 2
+    token, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    bit, upper = np.uint64(1) << (token & 63).astype(np.uint64), (token & 64).astype(bool)
+    begin = np.cumsum(sizes) - sizes
+    return [np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), begin).view(np.int64) for half in (~upper, upper)]
+
+
 def token_sets(texts: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(id, tokens, digest, s0, s1): hashes of the different runs ``[a-z0-9]+`` of each lower-cased text, ascending, a
     128-bit digest and a sketch of them, two 64-bit maps. Null ids, null texts and smaller sets are left out."""
@@ -60,17 +70,15 @@ def token_sets(texts: DataFrame, id_col: str, text_col: str, least: int) -> Data
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, tokens, digests, sketches = [], [], [], []
+            ids, tokens, digests = [], [], []
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 words = set(_TOKEN.findall(text.lower()))
                 if len(words) < least:
                     continue
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
+                hashes = np.array(list(map(xxhash.xxh64_intdigest, words)), dtype=np.uint64)
                 hashes.sort()
-                ids.append(key), tokens.append(hashes), digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                bit, upper = np.uint64(1) << (hashes & 63).astype(np.uint64), (hashes & 64).astype(bool)
-                sketches.append([np.bitwise_or.reduce(bit[half]).view(np.int64) for half in (~upper, upper)])
-            s0, s1 = zip(*sketches, strict=True) if sketches else ((), ())
+                ids.append(key), tokens.append(hashes.view(np.int64)), digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            s0, s1 = _sketches(tokens)
             yield pd.DataFrame({"id": pd.Series(ids, dtype=batch["id"].dtype), "tokens": tokens, "digest": digests, "s0": s0, "s1": s1})
 
     return rows.mapInPandas(tokenize, f"id {rows.schema['id'].dataType.simpleString()}, tokens array<bigint>, digest binary, s0 bigint, s1 bigint")
@@ -265,14 +273,19 @@ def candidate_pairs(reps: DataFrame, jaccard: float, least: int, bucket: int = B
     """(a, b), a < b: pairs of sets that may have the wanted similarity; every pair that has it is among them."""
     spread = reps.repartition(parallelism(reps.sparkSession), "rep")
     known = frequencies(spread, most)
-    return covering_pairs(spread, known, jaccard, least, bucket).unionByName(crowded_pairs(spread, known, jaccard)).distinct()
+    # sizes and sketches, a few bytes a set, go first: nearly all chance pairs end here and never meet their tokens
+    covered = covering_pairs(spread, known, jaccard, least, bucket).distinct()
+    a, b = (reps.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("size", "s0", "s1"))) for side in "ab")
+    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(jaccard) - 1e-9
+    covered = covered.join(a, "a").join(b, "b").where(sizes & _sketches_allow(jaccard)).select("a", "b")
+    return covered.unionByName(crowded_pairs(spread, known, jaccard)).distinct()
 
 
 def similar_sets(reps: DataFrame, jaccard: float = JACCARD, least: int = LEAST, **options: float) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of different token sets of at least the wanted similarity."""
     pairs = candidate_pairs(reps, jaccard, least, **options)
-    a, b = (reps.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("tokens", "size", "s0", "s1"))) for side in "ab")
-    joined = pairs.join(a, "a").join(b, "b").where(_sketches_allow(jaccard))
+    a, b = (reps.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("tokens", "size"))) for side in "ab")
+    joined = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     joined = joined.select("a", "b", (shared / (F.col("size_a") + F.col("size_b") - shared)).alias("jaccard"))
     return joined.where(F.col("jaccard") >= F.lit(jaccard) - 1e-12)
