@@ -391,6 +391,11 @@ ORACLE_SQL = {
         FROM x WHERE band IS NOT NULL AND query_id IN (SELECT query_id FROM x WHERE band = 'pos')""",
     "retriever_examples": f"WITH {_EX} SELECT * FROM ex",
     "split_by_difficulty": f"""WITH {_EX} SELECT label_type, difficulty, count(*) AS n, count(*) FILTER (difficulty IN ('pos', 'easy')) AS early, count(*) FILTER (difficulty IN ('pos', 'hard')) AS late FROM ex GROUP BY 1, 2""",
+    "split_by_difficulty_all": f"""WITH {_EX}, ct AS (SELECT question_id AS id, coalesce(nullif(trim(dataset), ''), 'uncategorized') AS cat FROM q WHERE question_id IS NOT NULL),
+        mb AS (SELECT ex.query_id, ex.doc_id, ct.cat FROM ex JOIN ct ON ct.id = ex.query_id WHERE label_type = 'pos'),
+        pl AS (SELECT DISTINCT cat, doc_id FROM mb), qs AS (SELECT DISTINCT query_id, cat FROM mb),
+        sb AS (SELECT count(*) AS n FROM qs JOIN pl USING (cat) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = qs.query_id AND ex.doc_id = pl.doc_id))
+        SELECT label_type, difficulty, count(*) AS n FROM ex GROUP BY 1, 2 UNION ALL SELECT 'sibling', 'hard', n FROM sb WHERE n > 0""",
     "carve_split": f"WITH {_CARVE} SELECT question_id, part FROM pt",
     "carve_passages": f"WITH {_CARVE}, {B.P} SELECT passage_id, part FROM p JOIN pt ON pt.question_id = split_part(passage_id, '__', 1)",
     "seeded_sample": f"""WITH {B.Q} SELECT dataset, question_id FROM (SELECT dataset, question_id, row_number() OVER (PARTITION BY dataset ORDER BY ({_NUM} * 2654435761 + 7) % 1000003, question_id) AS r FROM q) WHERE r <= 5""",
