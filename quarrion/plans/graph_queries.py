@@ -95,11 +95,38 @@ _LOG = f"""{_REACH}, o AS (SELECT query_id, hop, list(node) AS f FROM sn WHERE h
 hl AS (SELECT o.query_id, o.hop, f AS expanded_from, coalesce(n, []) AS new_passages FROM o LEFT JOIN nw USING (query_id, hop)),
 gd AS (SELECT query_id, list(DISTINCT passage_id) AS gold FROM t WHERE rank <= 3 GROUP BY 1)"""
 
+
+
+def _walk(first: str, later: str) -> str:
+    """SQL tables of the walk, the last one ``wk``: a recursion step takes one node of the frontier; lists hold what was visited and taken."""
+    options = "list({{'oq': oq_id, 'dst': dst}} ORDER BY {0})"
+    last = "idx = len(front)"
+    return f"""{_EDGES}, el AS (SELECT src AS at, {options.format(first)} AS l0, {options.format(later)} AS l1 FROM e GROUP BY 1),
+        s0 AS (SELECT question_id AS query_id, gold_passages_full[i] AS src, i FROM (SELECT question_id, gold_passages_full, unnest(range(1, len(gold_passages_full) + 1)) AS i FROM q WHERE {B.IS_QUERY})),
+        w AS (SELECT query_id, 0 AS hop, list(src ORDER BY i, src) AS front, 1 AS idx, CAST([] AS VARCHAR[]) AS follow, CAST([] AS VARCHAR[]) AS visited, CAST([] AS VARCHAR[]) AS taken,
+                     CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS VARCHAR) AS oq_id, CAST(NULL AS BOOLEAN) AS repeat, 0 AS at_hop
+              FROM s0 WHERE src IS NOT NULL GROUP BY 1
+        UNION ALL
+        SELECT query_id, CASE WHEN {last} THEN hop + 1 ELSE hop END, CASE WHEN {last} THEN f ELSE front END, CASE WHEN {last} THEN 1 ELSE idx + 1 END, CASE WHEN {last} THEN CAST([] AS VARCHAR[]) ELSE f END,
+               CASE WHEN got AND NOT again THEN list_append(v, c.dst) ELSE v END, CASE WHEN got THEN list_append(taken, node || '|' || c.dst || '|' || c.oq) ELSE taken END,
+               CASE WHEN got THEN node END, c.dst, c.oq, CASE WHEN got THEN again END, hop
+        FROM (SELECT *, CASE WHEN got AND NOT again THEN list_append(follow, c.dst) ELSE follow END AS f FROM (
+            SELECT *, c IS NOT NULL AS got, coalesce(list_contains(v, c.dst), false) AS again FROM (
+            SELECT y.*, list_append(visited, node) AS v, list_filter(CASE WHEN hop = 0 THEN l0 ELSE l1 END, lambda z: NOT list_contains(taken, node || '|' || z.dst || '|' || z.oq))[1] AS c
+            FROM (SELECT *, front[idx] AS node FROM w WHERE hop < {HOPS} AND len(front) > 0) y LEFT JOIN el ON el.at = node)))),
+        wk AS (SELECT query_id, at_hop AS hop, src, dst, oq_id, repeat FROM w WHERE src IS NOT NULL)"""
+
+
+WALK = _walk("oq_id, dst", "oq_id, dst")
+
+
 ORACLE_SQL = {
     "edge_candidates": f"WITH {_EDGES} SELECT query_id, src, dst, oq_id, row_number() OVER (PARTITION BY query_id, src ORDER BY oq_id, dst) AS place FROM ss JOIN e USING (src)",
     "edge_candidates_biased": f"WITH {_EDGES} SELECT query_id, src, dst, oq_id, row_number() OVER (PARTITION BY query_id, src ORDER BY conditioned_score DESC, oq_id, dst) AS place FROM ss JOIN e USING (src)",
     "edge_candidates_next": f"""WITH {_EDGES}, c AS (SELECT query_id, src, dst, oq_id, row_number() OVER (PARTITION BY query_id, src ORDER BY oq_id, dst) AS place FROM ss JOIN e USING (src))
         SELECT query_id, src, dst, oq_id, place - 1 AS place FROM c WHERE place > 1""",
+    "traverse": f"WITH RECURSIVE {WALK} SELECT * FROM wk",
+    "traverse_biased": f"WITH RECURSIVE {_walk('conditioned_score DESC, oq_id, dst', 'conditioned_score, oq_id, dst')} SELECT * FROM wk",
     "reachability": f"WITH RECURSIVE {_REACH} SELECT query_id, node, hop FROM sn",
     "hop_metrics": f"""WITH RECURSIVE {_LOG}, x AS (SELECT hl.query_id, hl.hop, (SELECT count(*) FROM sn WHERE sn.query_id = hl.query_id AND sn.hop BETWEEN 1 AND hl.hop + 1) AS seen,
         (SELECT count(*) FROM sn WHERE sn.query_id = hl.query_id AND sn.hop BETWEEN 1 AND hl.hop + 1 AND list_contains(gd.gold, sn.node)) AS hits, len(gd.gold) AS n FROM hl JOIN gd USING (query_id)),

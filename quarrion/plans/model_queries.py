@@ -153,7 +153,22 @@ _SCORES = f"""{B.S}, n AS (SELECT query_id, passage_id, (coalesce(CAST(nullif(re
     + length(passage_id) * 31 + CAST(floor(score * 1000) AS BIGINT)) AS n FROM s)"""
 _TIMES = f"{B.R}, x AS (SELECT question_id, sum(wall_time_sec) AS s, count(*) AS c FROM r WHERE question_id IS NOT NULL GROUP BY 1)"
 
+_GOLD = "gd AS (SELECT DISTINCT query_id, passage_id FROM t WHERE rank <= 3), gn AS (SELECT query_id, count(*) AS n FROM gd GROUP BY 1)"
+_RATIOS = "round(p, {d}) AS precision, round(r, {d}) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), {d}) AS f1"
+
 ORACLE_SQL = {
+    "walk_results": f"""WITH RECURSIVE {graph_queries.WALK}, {_GOLD}, vs AS (SELECT query_id, src AS p FROM s0 WHERE src IS NOT NULL UNION SELECT query_id, dst FROM wk),
+        v AS (SELECT vs.query_id, count(*) AS visited, count(gd.passage_id) AS hits FROM vs LEFT JOIN gd ON gd.query_id = vs.query_id AND gd.passage_id = vs.p GROUP BY 1),
+        k AS (SELECT query_id, count(*) AS steps, count(*) FILTER (repeat) AS repeats, max(hop) + 1 AS hops FROM wk GROUP BY 1),
+        x AS (SELECT query_id, visited, coalesce(steps, 0) AS steps, coalesce(repeats, 0) AS repeats, coalesce(hops, 0) AS hops, hits / visited AS p, coalesce(hits / nullif(n, 0), 0) AS r
+              FROM v LEFT JOIN k USING (query_id) LEFT JOIN gn USING (query_id))
+        SELECT query_id, visited, steps, repeats, hops, {_RATIOS.format(d=6)} FROM x""",
+    "walk_hop_metrics": f"""WITH RECURSIVE {graph_queries.WALK}, {_GOLD}, nw AS (SELECT DISTINCT query_id, hop, dst FROM wk WHERE NOT repeat),
+        hs AS (SELECT DISTINCT query_id, 0 AS hop FROM s0 WHERE src IS NOT NULL UNION SELECT query_id, hop FROM nw),
+        c AS (SELECT hs.query_id, hs.hop, gn.n, (SELECT count(*) FROM nw WHERE nw.query_id = hs.query_id AND nw.hop <= hs.hop) AS seen,
+              (SELECT count(*) FROM nw JOIN gd ON gd.query_id = nw.query_id AND gd.passage_id = nw.dst WHERE nw.query_id = hs.query_id AND nw.hop <= hs.hop) AS hits FROM hs JOIN gn USING (query_id)),
+        x AS (SELECT query_id, hop, coalesce(hits / nullif(seen, 0), 0) AS p, coalesce(hits / nullif(n, 0), 0) AS r FROM c)
+        SELECT query_id, hop, {_RATIOS.format(d=4)} FROM x""",
     "usefulness_grades": f"WITH {_GRADES} SELECT question_id, passage_id, score, score / 5 AS normalised, true AS valid, 1 AS attempts FROM gr",
     "usefulness_totals": f"WITH {_GRADES} SELECT question_id, count(*) AS sentences, 0 AS invalid, count(*) AS attempts FROM gr GROUP BY 1",
     "random_topk": f"""WITH {_SCORES}, y AS (SELECT query_id, passage_id, ((n * 2654435761 + 17) % 1000003 + 1000003) % 1000003 / 1000003.0 AS z FROM n),
