@@ -333,12 +333,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: dict[str, float],
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
     rows = df.select(*(F.col(g) for g in group), F.explode(pairs).alias("x")).select(*group, "x.*")
     counted = rows.groupBy(*group, "column", "value").agg(F.count("value").alias("n"))
-    sizes = counted.groupBy(*group, "column").agg(F.sum("n").alias("_all"))
-    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
-    met = counted.alias("c").join(sizes.alias("s"), [F.col("c.column") == F.col("s.column"), *same])
-    met = met.select(*(F.col(f"c.{g}").alias(g) for g in group), F.col("c.column").alias("column"), "value", "n", "_all")
-    upto = F.sum("n").over(Window.partitionBy(*group, "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    met = met.withColumn("_to", upto)
+    values = Window.partitionBy(*group, "column").orderBy("value")
+    upto = F.sum("n").over(values.rowsBetween(Window.unboundedPreceding, 0))
+    met = counted.withColumn("_to", upto).withColumn("_all", F.sum("n").over(values.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
     def quantile(column: str, share: float) -> Column:
         place = (F.col("_all") - 1) * F.lit(share)
