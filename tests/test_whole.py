@@ -13,6 +13,7 @@ from quarrion.operators import examples as E
 from quarrion.operators import metrics as M
 from quarrion.operators import models as O
 from quarrion.operators import nearmiss as N
+from quarrion.operators import retrieval as R
 from quarrion.operators.ordinals import with_group_ranks
 from quarrion.plans import base, registry
 
@@ -133,3 +134,46 @@ def test_ranks_of_groups_that_span_partitions(spark):
         want.setdefault(g, []).append((s, i))
     assert len(got) == 2001 and all(want[r["g"]][r["rank"] - 1] == (r["s"], r["i"]) for r in got)
     assert with_group_ranks(rows.limit(0), ["g"], [F.asc("i")], "rank").count() == 0
+
+
+@pytest.mark.parametrize("blocks", [(8192, 32768), (3, 7)])
+def test_overlap_tiles_give_ranks_of_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(R, "OVERLAP_QUERIES", blocks[0])
+    monkeypatch.setattr(R, "OVERLAP_DOCUMENTS", blocks[1])
+    asks = {f"q{i}": [w for j, w in enumerate("abcdefgh") if i >> (j % 4) & 1 or j == i % 3] for i in range(11)} | {"none": ["zz"], "long": [f"w{i}" for i in range(300)]}
+    texts = {f"d{i * 37 % 101:03}": [w for j, w in enumerate("abcdefghxy") if i * (j + 3) % 7 < 3] for i in range(60)} | {"dé": ["a"], "w": [f"w{i}" for i in range(290)], "null": None}
+    queries = spark.createDataFrame(list(asks.items()), "query_id string, tokens array<string>")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, tokens array<string>")
+    want = {}
+    for q, a in asks.items():
+        scored = sorted((-n, x) for x, b in texts.items() if b and (n := len(set(a) & set(b))))
+        want |= {(q, x): (-n, i + 1) for i, (n, x) in enumerate(scored)}
+    hits = spark.createDataFrame([(q, x, n) for (q, x), (n, i) in want.items() if i % 3], "query_id string, doc_id string, score int")
+    tiles = R.overlap_tiles(queries, docs, 4, hits).localCheckpoint()
+    got = {(r["query_id"], r["doc_id"]): (r["score"], r["rank"]) for r in R.best_of_tiles(tiles, 4).collect()}
+    assert got == {k: v for k, v in want.items() if v[1] <= 4}
+    got = {(r["query_id"], r["doc_id"]): (r["score"], r["rank"]) for r in R.hits_of_tiles(tiles).collect()}
+    assert got == {k: v for k, v in want.items() if v[1] % 3}
+
+
+def test_overlap_ranking_pairs_nothing_outside_tiles(spark, data, monkeypatch):
+    def whole(*_):
+        raise AssertionError("every query would be paired with every document that shares a token")
+
+    monkeypatch.setattr(R, "token_overlap", whole)
+    for name in ("token_overlap_ndcg", "ccr_report", "pair_confusion", "pair_confusion_wide", "top_confused"):
+        registry.QUERIES[name](spark, data)
+
+
+def test_confusions_of_sets_are_those_of_the_map(spark, monkeypatch):
+    rows = [(f"q{i}", "c", " ".join("abcdefg"[j] for j in range(7) if (i * 5 + j * j) % 4)) for i in range(16)] + [("x", "c", "")]
+    sets = N.label_sets(spark.createDataFrame(rows, "i string, c string, t string"), "i", "t", F.col("c"))
+    positives = spark.createDataFrame([(f"q{i}", f"d{j}") for i in range(16) for j in (i % 5, i % 7)], "query_id string, doc_id string").distinct()
+    top = spark.createDataFrame([(f"q{i}", f"d{j}") for i in range(16) for j in range(7)] + [("x", "d1")], "query_id string, doc_id string")
+    for least in (0.2, 0.6):
+        mapped = N.near_miss_map(N.shared_term_pairs(sets, least), sets)[0]
+        want = sorted(tuple(r) for r in N.confusions(top, positives, mapped).collect())
+        with monkeypatch.context() as m:
+            m.setattr(N, "shared_term_pairs", None)
+            got = sorted(tuple(r) for r in N.confusions_of_sets(top, positives, sets, least).collect())
+        assert got == want and want
