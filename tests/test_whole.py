@@ -177,3 +177,36 @@ def test_confusions_of_sets_are_those_of_the_map(spark, monkeypatch):
             m.setattr(N, "shared_term_pairs", None)
             got = sorted(tuple(r) for r in N.confusions_of_sets(top, positives, sets, least).collect())
         assert got == want and want
+
+
+def test_random_scores_take_numbers_of_any_size(spark, tmp_path):
+    number = 987_654_321_012_345_678
+    rows = [(f"q_{number}", f"p{i}__chunk0", i / 10) for i in range(4)]
+    spark.createDataFrame(rows, "query_id string, chunk_id string, score double").write.parquet(f"{tmp_path}/retrieval_scores.parquet")
+    got = {(r["passage_id"], r["score"]) for r in registry.QUERIES["random_topk"](spark, str(tmp_path)).collect()}
+    score = {f"p{i}": round(((number * 7919 + 62 + i * 100) * 2654435761 + 17) % 1000003 / 1000003, 6) for i in range(4)}
+    assert got == set(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:3])
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.6, 1.0])
+@pytest.mark.parametrize("within", [None, True, False])
+def test_term_pairs_are_those_of_brute_force(spark, monkeypatch, within, least):
+    monkeypatch.setattr(N, "TOKEN_BLOCK", 5)
+    rows = [(f"q{i}", "cd"[i % 2], [w for j, w in enumerate("abcdefghij") if (i * i + 3 * j * i + j) % 7 < 1 + i % 6]) for i in range(50)]
+    sets = spark.createDataFrame([(i, c, " ".join(t), t) for i, c, t in rows], "id string, category string, label string, tokens array<string>")
+    fits = lambda c, d: within is None or (c == d) == within
+    pairs = {(a, b): (set(x), set(y)) for a, c, x in rows for b, d, y in rows if a < b and x and y and fits(c, d)}
+    want = {k: (len(x & y) / len(x | y), len(x & y) / min(len(x), len(y))) for k, (x, y) in pairs.items() if len(x & y) / len(x | y) >= least}
+    got = N.shared_term_pairs(sets, least, within).collect()
+    assert {(r["a"], r["b"]): (r["jaccard"], r["overlap"]) for r in got} == want and len(got) == len(want)
+
+
+def test_term_pairs_that_share_too_little_are_not_intersected(spark):
+    names = [f"n{i} m{i}" for i in range(60)]
+    rows = [(f"q{i}", "c", f"{x} what is kept beneath the {i % 3}x {i % 4}y {i % 5}z inside w{i % 7} hall") for i, x in enumerate(names)]
+    sets = N.label_sets(spark.createDataFrame(rows, "i string, c string, t string"), "i", "t", F.col("c"))
+    small = N.token_rows(sets)
+    meet = N.meeting(small, small.withColumn("most", F.col("n")), ())
+    bits = F.bit_count(F.col("s_bits").bitwiseAND(F.bitwise_not("l_bits")))
+    shared = F.size(F.array_intersect("s_ts", "l_ts"))
+    assert meet.where(bits > F.col("s_n") - shared).count() == 0 and meet.where(bits > 1).count() > meet.count() / 2
