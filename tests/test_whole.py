@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import random
 import re
 
 import pytest
@@ -210,3 +211,11 @@ def test_term_pairs_that_share_too_little_are_not_intersected(spark):
     bits = F.bit_count(F.col("s_bits").bitwiseAND(F.bitwise_not("l_bits")))
     shared = F.size(F.array_intersect("s_ts", "l_ts"))
     assert meet.where(bits > F.col("s_n") - shared).count() == 0 and meet.where(bits > 1).count() > meet.count() / 2
+
+
+def test_matching_length_is_that_of_difflib():
+    draw = random.Random(1)
+    for k in range(1500):
+        letters = ("ab", "abcde fgé", "the quick brown fox")[k % 3]
+        a, b = ("".join(draw.choice(letters) for _ in range(draw.randrange(40))) for _ in "ab")
+        assert N.matching_length(a, b, N.places_of(b)) == sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
