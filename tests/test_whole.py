@@ -219,3 +219,32 @@ def test_matching_length_is_that_of_difflib():
         letters = ("ab", "abcde fgé", "the quick brown fox")[k % 3]
         a, b = ("".join(draw.choice(letters) for _ in range(draw.randrange(40))) for _ in "ab")
         assert N.matching_length(a, b, N.places_of(b)) == sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_term_pairs_are_compared_in_arrays(spark, monkeypatch):
+    def built(*_):
+        raise AssertionError("a row would be built of each pair that has a token in common")
+
+    monkeypatch.setattr(N, "meeting", built)
+    monkeypatch.setattr(N, "PAIR_SLICE", 7)
+    monkeypatch.setattr(N, "TOKEN_SLICE", 50)
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, long), (2, f"{long} one more"), (3, "w1 w2"), (4, "W2 w1"), (5, ""), (6, "alone")]
+    sets = N.label_sets(spark.createDataFrame([(i, "c", t) for i, t in rows], "i int, c string, t string"), "i", "t", F.col("c"))
+    got = {(r["a"], r["b"]): (r["jaccard"], r["overlap"]) for r in N.shared_term_pairs(sets, 0.6).collect()}
+    assert got == {(1, 2): (400 / 402, 1.0), (3, 4): (1.0, 1.0)}
+
+
+def test_only_queries_with_positives_are_paired(spark, data, monkeypatch):
+    seen = []
+    pairs = N.shared_term_pairs
+    monkeypatch.setattr(N, "shared_term_pairs", lambda sets, *x, **y: [seen.append({r["id"] for r in sets.select("id").collect()}), pairs(sets, *x, **y)][1])
+    rows = registry.QUERIES["retriever_examples"](spark, data).collect()
+    assert seen and all(ids <= {r["query_id"] for r in rows if r["label_type"] == "pos"} for ids in seen)
+
+
+def test_best_of_repeated_judgements_counts(spark):
+    judged = spark.createDataFrame([("q", "d1", 0), ("q", "d1", 2), ("q", "d2", 4), ("q", "d2", 1), ("q", None, 4), ("r", "d3", 3)], "query_id string, doc_id string, score int")
+    mapped = spark.createDataFrame([("q", "r"), ("r", "q"), ("q", "s"), ("s", "q")], "id string, neighbour string")
+    got = sorted((r["query_id"], r["doc_id"], r["label_type"]) for r in E.retriever_examples(judged, mapped).collect())
+    assert got == [("q", "d1", "hard"), ("q", "d2", "pos"), ("q", "d3", "near_miss"), ("r", "d2", "near_miss"), ("r", "d3", "pos")]
