@@ -248,3 +248,26 @@ def test_best_of_repeated_judgements_counts(spark):
     mapped = spark.createDataFrame([("q", "r"), ("r", "q"), ("q", "s"), ("s", "q")], "id string, neighbour string")
     got = sorted((r["query_id"], r["doc_id"], r["label_type"]) for r in E.retriever_examples(judged, mapped).collect())
     assert got == [("q", "d1", "hard"), ("q", "d2", "pos"), ("q", "d3", "near_miss"), ("r", "d2", "near_miss"), ("r", "d3", "pos")]
+
+
+def test_sibling_counts_list_no_siblings(spark, data, monkeypatch):
+    listed = {}
+    for r in registry.QUERIES["retriever_examples_all"](spark, data).collect():
+        listed[r["label_type"], r["difficulty"]] = listed.get((r["label_type"], r["difficulty"]), 0) + len(r["docs"])
+
+    def built(*_, **__):
+        raise AssertionError("siblings would be listed")
+
+    monkeypatch.setattr(E, "example_blocks", built)
+    got = registry.QUERIES["split_by_difficulty_all"](spark, data).collect()
+    assert {(r["label_type"], r["difficulty"]): r["n"] for r in got} == listed and ("sibling", "hard") in listed
+
+
+def test_counts_of_queries_without_category(spark):
+    rows = [("q", "d1", 4), ("q", "d2", 0), ("r", "d2", 3), ("r", "d3", 4), ("n", "d1", 4), ("n", "d9", 2)]
+    judged = spark.createDataFrame(rows, "query_id string, doc_id string, score int")
+    mapped = spark.createDataFrame([("q", "r")], "id string, neighbour string")
+    categories = spark.createDataFrame([("q", "x"), ("r", "x")], "id string, category string")
+    got = {r["label_type"]: r["n"] for r in E.example_counts(judged, mapped, categories).collect()}
+    # n has no siblings; of d1, d2 and d3, q has labels for all and r for two
+    assert got == {"pos": 4, "easy": 1, "hard": 1, "near_miss": 1, "sibling": 1}
