@@ -271,3 +271,11 @@ def test_counts_of_queries_without_category(spark):
     got = {r["label_type"]: r["n"] for r in E.example_counts(judged, mapped, categories).collect()}
     # n has no siblings; of d1, d2 and d3, q has labels for all and r for two
     assert got == {"pos": 4, "easy": 1, "hard": 1, "near_miss": 1, "sibling": 1}
+
+
+def test_labels_are_not_kept_beside_their_siblings(spark, data, monkeypatch):
+    kept = []
+    cut = E.checkpointed
+    monkeypatch.setattr(E, "checkpointed", lambda df, *x: [kept.append(df.columns), cut(df, *x)][1])
+    registry.QUERIES["retriever_examples_all"](spark, data)
+    assert kept and not any("label_type" in columns for columns in kept)
